@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeframe.llm import bpe, line_dedup, quality_rules, simhash
+from gaugeframe.llm import additive_ann, bpe, byte_cnn, line_dedup, nnpu, quality_rules, simhash, token_rollup
 from gaugeframe.llm._shared import table
 
 
+def op3_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnpu.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.maintained(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -28,8 +44,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_additive_ann": op3_additive_ann,
+    "op4_byte_cnn": op4_byte_cnn,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op9_nnpu": op9_nnpu,
+    "op10_token_rollup": op10_token_rollup,
 }
 ORACLE_SQL: dict[str, str] = {}
