@@ -24,14 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds on what a worker remembers between batches; each entry takes some 200 bytes.
-MAX_CHUNKS, MAX_PIECES, LONG_CHUNK = 500_000, 400_000, 64
+MAX_CHUNKS, MAX_PIECES, LONG_CHUNK = 250_000, 200_000, 64
 #: Pieces that the library gets in one string.
 JOINED = 2000
 #: Rows of a batch that are handled at once.
 SLICE = 256
 
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+#: A space that white space or the end follows, in UTF-8: U+0009 to 000D, 001C to 0020, 0085, 00A0, 1680, 2000 to 200A,
+#: 2028, 2029, 202F, 205F, 3000.
+_ODD_SPACE = re.compile(rb" (?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)")
 _SPACE = re.compile(r"\s")
+_MARKS = frozenset(".,;:!?")
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -65,8 +68,8 @@ class ByteBpe:
         for i, content in added.items():
             self.bytes_of[i] = content
         self.lengths = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.chunks_before = {}, {}
+        self.pieces, self.pieces_before = {}, {}
 
     def _joined(self, pieces: list[str], mark: str) -> dict[str, bytes]:
         """Ids of pieces that the pattern keeps apart when they follow each other, with the mark between."""
@@ -80,36 +83,63 @@ class ByteBpe:
             begin = end + gap
         return out
 
-    def _resolve(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of each chunk, from the piece cache or the library."""
-        cut = {c: self.matches(c) for c in chunks}
-        new = list(set(chain.from_iterable(cut.values())).difference(self.pieces))
-        if len(self.pieces) + len(new) > MAX_PIECES:
-            self.pieces.clear()
-            new = list(set(chain.from_iterable(cut.values())))
-        known = self.pieces
+    def _pieces(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of each match of the pattern, from the caches or the library."""
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces, self.pieces_before = {}, self.pieces
+        known, before = self.pieces, self.pieces_before
+        new = []
+        for p in wanted.difference(known):
+            if (ids := before.get(p)) is None:
+                new.append(p)
+            else:
+                known[p] = ids
         spaced = [p for p in new if p[0] == " " and not p[1:2].isspace() and len(p) > 1]
         bare = [p for p in new if not _SPACE.search(p)]
         for many, mark in ((spaced, ""), (bare, "\n")):
             for at in range(0, len(many), JOINED):
                 known.update(self._joined(many[at : at + JOINED], mark))
-        for piece in set(new).difference(known):
-            known[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        for p in set(new).difference(known):
+            known[p] = array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+        return known
+
+    def _resolve(self, chunks: dict[bytes, str]) -> dict[bytes, bytes]:
+        """Ids of each chunk (given with its text)."""
+        cut = {}
+        for c, text in chunks.items():
+            if text[1:].isalpha() and text[0] == " ":  # the pattern matches it whole, or all but a mark at its end
+                cut[c] = (text,)
+            elif text[-1:] in _MARKS and text[1:-1].isalpha() and text[0] == " ":
+                cut[c] = (text[:-1], text[-1])
+            else:
+                cut[c] = self.matches(text)
+        known = self._pieces(set(chain.from_iterable(cut.values())))
         return {c: b"".join([known[p] for p in found]) for c, found in cut.items()}
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null has none."""
+    def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers; a null has none.
+
+        Chunks are remembered without the space before them; the first chunk of a text, which has none, is not.
+        """
         cuts = []
         for t in texts:
-            first, *rest = (t or "").split(" ") if not t or not _ODD_SPACE.search(t) else _CUT.split(t)
-            cuts.append([first, *[" " + c for c in rest]])
-        new = set(chain.from_iterable(cuts)).difference(self.chunks)
-        if len(self.chunks) + len(new) > MAX_CHUNKS:
-            self.chunks.clear()
-            new = set(chain.from_iterable(cuts))
-        known = self.chunks
+            if not t or not _ODD_SPACE.search(t):
+                cuts.append((t or b"").split(b" "))
+            else:
+                cuts.append([c.encode() for c in _CUT.split(t.decode())])
+        heads = {c[0] for c in cuts}
+        heads = self._resolve({c: c.decode() for c in heads})
+        if len(self.chunks) > MAX_CHUNKS:
+            self.chunks, self.chunks_before = {}, self.chunks
+        known, before = self.chunks, self.chunks_before
+        new = {}
+        for c in set(chain.from_iterable(cuts)).difference(known):
+            if (ids := before.get(c)) is None:
+                new[c] = " " + c.decode()
+            else:
+                known[c] = ids
         known.update(self._resolve(new))
-        out = [b"".join([known[c] for c in cut]) for cut in cuts]
+        out = [heads[c[0]] + b"".join([known[x] for x in c[1:]]) for c in cuts]
         for c in new:
             if len(c) > LONG_CHUNK:
                 del known[c]
@@ -166,12 +196,12 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 columns = [*[rows.column(i) for i in range(len(keep))], pa.array(ids, pa.binary())]
                 names = [*keep, "ids"]
                 if offsets:
-                    both = [bpe.offsets(t or "", x) for t, x in zip(texts, ids, strict=True)]
+                    both = [bpe.offsets((t or b"").decode(), x) for t, x in zip(texts, ids, strict=True)]
                     columns += [pa.array([x[k] for x in both], pa.list_(pa.int64())) for k in (0, 1)]
                     names += ["starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(c) for c in keep], F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:

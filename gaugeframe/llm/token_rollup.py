@@ -39,7 +39,7 @@ def counted(docs: DataFrame, tokenizer: str = VERSION, path: str | None = None)
 
     text = F.col("text").cast("string")
     size: Column = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"), size.alias("n_bytes"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_hash"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.cast("binary").alias("text"), size.alias("n_bytes"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_hash"))
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, n_tokens bigint, n_bytes bigint, text_hash string"
     return rows.mapInArrow(run, out).withColumn("tokenizer", F.lit(tokenizer))
 
