@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeframe.llm import additive_ann, bpe, byte_cnn, line_dedup, nnpu, quality_rules, simhash, token_rollup
+from gaugeframe.llm import additive_ann, bpe, byte_cnn, line_dedup, nnpu, packing, quality_rules, simhash, token_rollup
 from gaugeframe.llm._shared import table
 
 
@@ -18,6 +18,10 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnpu.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_nnpu": op9_nnpu,
     "op10_token_rollup": op10_token_rollup,
 }
