@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeframe.llm import additive_ann, bpe, byte_cnn, line_dedup, nnpu, packing, quality_rules, simhash, token_rollup
+from gaugeframe.llm import additive_ann, bpe, byte_cnn, line_dedup, nnpu, packing, quality_rules, simhash, suffix_dedup, token_rollup
 from gaugeframe.llm._shared import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -38,15 +46,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(table(spark, sf_dir, "documents"))
-
-
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_additive_ann": op3_additive_ann,
     "op4_byte_cnn": op4_byte_cnn,
