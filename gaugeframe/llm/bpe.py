@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds on what a worker remembers between batches; each entry takes some 200 bytes.
-MAX_CHUNKS, MAX_PIECES, LONG_CHUNK = 250_000, 200_000, 64
+MAX_CHUNKS, MAX_PIECES, LONG_CHUNK = 600_000, 500_000, 64
 #: Pieces that the library gets in one string.
 JOINED = 2000
 #: Rows of a batch that are handled at once.
