@@ -6,7 +6,7 @@ lengths, percentiles, top values) works on these counts with weights, so a low-c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import text as X
@@ -35,15 +35,14 @@ def value_counts(long: DataFrame, standardise: bool = True, s: Settings = DEFAUL
 def standardised(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds `new`, the standard form of each counted value, and the forms on the way (`cut`, `known`, `truth`)."""
     cut = X.trimmed(F.col("value"))
-    full = F.when(cut != "", F.col("cnt")).otherwise(0)
-    share = F.col("value").isNotNull() & (cut != "") & X.is_bool(cut)
-    per = Window.partitionBy(*KEY)
-    total = F.sum(F.coalesce(full, F.lit(0))).over(per)
-    hits = F.sum(F.when(share, F.col("cnt")).otherwise(0)).over(per)
+    full = F.coalesce(F.when(cut != "", F.col("cnt")), F.lit(0))
+    hit = F.coalesce(F.when((cut != "") & X.is_bool(cut), F.col("cnt")), F.lit(0))
+    per = raw.groupBy(*KEY).agg(F.sum(full).alias("__full"), F.sum(hit).alias("__hits"))  # as many rows as columns
+    mostly = per.where((F.col("__full") > 0) & (F.col("__hits") >= s.match_threshold * F.col("__full"))).select(*KEY, F.lit(True).alias("__mostly"))
     known = X.without_null_tokens(F.col("value"))
-    truth: Column = F.when((total > 0) & (hits >= s.match_threshold * total), X.bool_text(F.col("known"))).otherwise(F.col("known"))
-    out = raw.withColumn("cut", cut).withColumn("known", known).withColumn("truth", truth)
-    return out.withColumn("new", X.numeric_text(F.col("truth")))
+    truth: Column = F.when(F.col("__mostly"), X.bool_text(F.col("known"))).otherwise(F.col("known"))
+    out = raw.join(F.broadcast(mostly), list(KEY), "left").withColumn("cut", cut).withColumn("known", known).withColumn("truth", truth)
+    return out.withColumn("new", X.numeric_text(F.col("truth"))).drop("__mostly")
 
 
 def report(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -112,7 +112,8 @@ def best_edges(edges: DataFrame) -> DataFrame:
     stem = F.replace(F.replace(F.lower("fk_column"), F.lit("_id"), F.lit("")), F.lit("id"), F.lit(""))
     own = Window.partitionBy("fk_table", "fk_column").orderBy(F.desc("confidence"), F.desc((stem == F.lower("pk_table")).cast("int")), "pk_table", "pk_column")
     best = edges.withColumn("r", F.row_number().over(own)).where("r = 1").drop("r")
-    a, b = F.struct("fk_table", "fk_column"), F.struct("pk_table", "pk_column")
+    end = lambda p: F.struct(F.col(f"{p}_table").alias("t"), F.col(f"{p}_column").alias("c"))
+    a, b = end("fk"), end("pk")
     both = Window.partitionBy(F.least(a, b), F.greatest(a, b)).orderBy(F.desc("confidence"), "fk_table", "fk_column")
     return best.withColumn("r", F.row_number().over(both)).where("r = 1").drop("r")
 

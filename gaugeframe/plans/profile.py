@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeframe.functions.text import flattened, standard_names
 from gaugeframe.operators import quality, statistics
@@ -13,49 +15,68 @@ from gaugeframe.operators.columns import KEY, long_form, report, standardised
 from gaugeframe.settings import DEFAULT, Settings
 
 #: The fixed schema of column_profiles; what can't be computed is null, never left out.
-FIELDS = (
-    "table_name", "ordinal", "name", "original_name", "declared_type", "inferred_type", "confidence_score", "null_count", "distinct_count",
-    "is_distinct_count_exact", "unique_ratio", "cardinality", "is_nullable", "is_constant", "is_sparse", "is_key_candidate", "is_low_cardinality",
-    "min", "max", "skewness", "mean", "median", "std_dev", "variance", "kurtosis", "p5", "p25", "p75", "p95", "iqr", "coefficient_of_variation",
-    "outlier_count", "avg_length", "length_p10", "length_p50", "length_p90", "length_max", "semantic_type", "description", "top_values",
-    "sample_values", "quality_flags", "row_count", "format_variants",
-)
+STRUCT = T.StructType.fromDDL(
+    "table_name string, ordinal int, name string, original_name string, declared_type string, inferred_type string, confidence_score double,"
+    "null_count bigint, distinct_count bigint, is_distinct_count_exact boolean, unique_ratio double, cardinality string, is_nullable boolean,"
+    "is_constant boolean, is_sparse boolean, is_key_candidate boolean, is_low_cardinality boolean, min string, max string, skewness double,"
+    "mean double, median double, std_dev double, variance double, kurtosis double, p5 double, p25 double, p75 double, p95 double, iqr double,"
+    "coefficient_of_variation double, outlier_count bigint, avg_length double, length_p10 double, length_p50 double, length_p90 double,"
+    "length_max int, semantic_type string, description string, top_values array<struct<value:string,count:bigint>>, sample_values array<string>,"
+    "row_count bigint, format_variants array<string>, type_flags array<string>, nulls_normalized bigint"
+)
+FIELDS = [*[c for c in STRUCT.fieldNames() if c not in ("row_count", "format_variants", "type_flags", "nulls_normalized")], "quality_flags", "row_count", "format_variants"]
+#: What a column without any row has.
+EMPTY = {
+    **dict.fromkeys(STRUCT.fieldNames()), "row_count": 0, "null_count": 0, "distinct_count": 0, "unique_ratio": 0.0, "cardinality": "LOW",
+    "inferred_type": "NULL_ONLY", "confidence_score": 1.0, "is_nullable": False, "is_constant": False, "is_sparse": False, "is_key_candidate": False,
+    "is_low_cardinality": True, "is_distinct_count_exact": True, "top_values": [], "sample_values": [], "format_variants": [], "type_flags": [], "nulls_normalized": 0,
+}
 
 
 def column_profiles(df: DataFrame, table_name: str, s: Settings = DEFAULT, standardise: bool = True) -> DataFrame:
     """A row for each column of df with the fields above, over all rows.
 
-    Values are counted once; that one exchange feeds types, distinct counts, ranges, percentiles, lengths and top values.
-    Over exact_distinct_rows rows, percentiles become approximate and is_distinct_count_exact says that the table is large;
+    Values are counted once; the counts are kept, and types, distinct counts, ranges, percentiles, lengths and top values
+    come from them by jobs that run side by side. Each job's result has a few rows for each column of the table, whatever
+    the table's size, so the results are put together on the driver and returned as a local frame. Over
+    exact_distinct_rows rows, percentiles become approximate and is_distinct_count_exact says that the table is large;
     counts stay exact.
     """
     df = flattened(df)
-    raw = long_form(df).groupBy(*KEY, "value").agg(F.count("*").alias("cnt"))
-    if standardise:
-        new = standardised(raw, s).groupBy(*KEY, F.col("new").alias("value")).agg(F.sum("cnt").alias("cnt"))
-        notes = report(raw, s)
-    else:
-        blank = F.trim("value") == ""
-        new = raw.withColumn("value", F.when(~blank, F.col("value"))).groupBy(*KEY, "value").agg(F.sum("cnt").alias("cnt"))
-        notes = raw.select(*KEY).distinct().withColumn("nulls_normalized", F.lit(0).cast("long"))
-    vc = new.repartition(*KEY, F.pmod(F.xxhash64("value"), F.lit(64))).persist()
-    basic, types = statistics.basics(vc, s), statistics.inferred(vc, s).persist()
-    exact = df.count() <= s.exact_distinct_rows
-    quartiles = statistics.percentiles(vc, types, exact)
-    pairs = lambda x, *c: x.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("rank", *c))).alias("x"))
-    top = pairs(statistics.top_values(vc, s), "value", "count").select(*KEY, F.transform("x", lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"))).alias("top_values"))
-    some = pairs(statistics.sample_values(vc, s), "value").select(*KEY, F.transform("x", lambda t: t["value"]).alias("sample_values"))
-    frames = [types, notes.select(*KEY, "nulls_normalized"), statistics.ranges(vc, types), statistics.text_moments(vc, types), quartiles, statistics.outliers(vc, quartiles), statistics.lengths(vc, types), top, some]
-    out = reduce(lambda a, b: a.join(b, list(KEY), "left"), frames, basic)
-    names, declared = df.columns, [f.dataType.simpleString() for f in df.schema]
-    described = df.sparkSession.createDataFrame(list(zip(range(len(names)), standard_names(names), names, declared, strict=True)), "ordinal int, name string, original_name string, declared_type string")
-    out = described.join(out, "ordinal", "left").withColumn("table_name", F.lit(table_name))
-    empty = {"row_count": 0, "null_count": 0, "distinct_count": 0, "unique_ratio": 0.0, "cardinality": "LOW", "inferred_type": "NULL_ONLY", "confidence_score": 1.0}
-    out = out.fillna(empty).fillna(False, ["is_nullable", "is_constant", "is_sparse"]).fillna(True, ["is_low_cardinality", "is_distinct_count_exact"]).fillna({"ratio": 0.0})
-    out = out.withColumn("is_key_candidate", statistics.key_candidate(s))
-    out = out.withColumn("type_flags", F.coalesce("type_flags", F.array().cast("array<string>")))
-    out = quality.flagged(out)
-    out = out.withColumn("semantic_type", F.lit(None).cast("string")).withColumn("description", F.lit(None).cast("string"))
+    spark, declared = df.sparkSession, [f.dataType.simpleString() for f in df.schema]
+    raw = long_form(df).groupBy(*KEY, "value").agg(F.count("*").alias("cnt")).persist()
+    blank = F.trim("value") == ""
+    new = standardised(raw, s).withColumnRenamed("new", "to") if standardise else raw.withColumn("to", F.when(~blank, F.col("value")))
+    vc = new.groupBy(*KEY, F.col("to").alias("value")).agg(F.sum("cnt").alias("cnt")).persist()
+    local = lambda x: spark.createDataFrame(x.collect(), x.schema)
+    types = local(statistics.inferred(vc, s))
+    basic = statistics.basics(vc, s).join(types, list(KEY), "left").withColumn("is_key_candidate", statistics.key_candidate(s)).collect()
+    exact = max([r["row_count"] for r in basic], default=0) <= s.exact_distinct_rows
+
+    def quartiles() -> list:
+        q = local(statistics.percentiles(vc, types, exact))
+        return q.join(statistics.outliers(vc, q), list(KEY), "left").collect()
+
+    packed = lambda x, *c: x.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("rank", *c))).alias("x"))
+    jobs = [
+        quartiles,
+        lambda: statistics.ranges(vc, types).collect(),
+        lambda: statistics.text_moments(vc, types).collect(),
+        lambda: statistics.lengths(vc, types).collect(),
+        lambda: packed(statistics.top_values(vc, s), "value", "count").select(*KEY, F.transform("x", lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"))).alias("top_values")).collect(),
+        lambda: packed(statistics.sample_values(vc, s), "value").select(*KEY, F.transform("x", lambda t: t["value"]).alias("sample_values")).collect(),
+        *([lambda: report(raw, s).select(*KEY, "nulls_normalized").collect()] if standardise else []),
+    ]
+    found: dict[int, dict] = {i: dict(EMPTY) for i in range(len(df.columns))}
+    with ThreadPoolExecutor(4) as pool:
+        for rows in [basic, *pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)]:
+            for r in rows:
+                found[r["ordinal"]].update(r.asDict(recursive=True))
+    vc.unpersist()
+    raw.unpersist()
+    for i, (n, o, d) in enumerate(zip(standard_names(df.columns), df.columns, declared, strict=True)):
+        found[i] |= {"table_name": table_name, "ordinal": i, "name": n, "original_name": o, "declared_type": d}
+    out = quality.flagged(spark.createDataFrame([tuple(x[c] for c in STRUCT.fieldNames()) for x in found.values()], STRUCT))
     return out.select(*FIELDS)
 
 
