@@ -59,9 +59,18 @@ def leaves(schema: T.StructType, at: tuple[str, ...] = ()) -> list[tuple[tuple[s
 
 
 def flattened(df: DataFrame) -> DataFrame:
-    """Structs opened into columns named by their path joined with `_`; lists and maps as JSON text."""
-    quoted = lambda path: F.col(".".join(f"`{p}`" for p in path))
-    return df.select(*[(F.to_json(quoted(p)) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else quoted(p)).alias("_".join(p)) for p, f in leaves(df.schema)])
+    """Structs opened into columns named by their path joined with `_`; lists and maps as JSON text.
+
+    Columns are reached by position, so names may repeat or hold dots.
+    """
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    cells, out = [], []
+    for path, f in leaves(plain.schema):
+        c = F.col(".".join(f"`{p}`" for p in path))
+        cells.append(F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else c)
+        out.append("_".join([names[int(path[0][1:])], *path[1:]]))
+    return plain.select(*[c.alias(f"x{i}") for i, c in enumerate(cells)]).toDF(*out)
 
 
 def standard_name(name: str) -> str:

@@ -10,31 +10,30 @@ from gaugeframe.functions import semantic as M
 from gaugeframe.operators.columns import KEY
 from gaugeframe.settings import DEFAULT, LENGTH_TYPES, NO_RANGE, NOT_A_KEY, NUMERIC, Settings
 
-V, N = F.col("value"), F.col("cnt")
 SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def weighted(c: Column) -> Column:
-    return F.coalesce(F.sum(F.when(c, N)), F.lit(0)).cast("long")
+    return F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0)).cast("long")
 
 
 def counts(vc: DataFrame) -> DataFrame:
     """rows, null_count, distinct_count and the number of values per column."""
-    return vc.groupBy(*KEY).agg(F.sum("cnt").cast("long").alias("row_count"), weighted(V.isNull()).alias("null_count"), F.count("value").cast("long").alias("distinct_count"))
+    return vc.groupBy(*KEY).agg(F.sum("cnt").cast("long").alias("row_count"), weighted(F.col("value").isNull()).alias("null_count"), F.count("value").cast("long").alias("distinct_count"))
 
 
 def inferred(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """inferred_type, confidence_score, format_variants and flags per column, from one pass over its counted values."""
     label, stamp = F.col("__label"), F.col("__stamp")
-    x = vc.withColumn("__label", M.date_label(V)).withColumn("__stamp", M.timestamp_kind(V))
-    share = lambda c: weighted(c) / F.sum(F.when(V.isNotNull(), N))
+    x = vc.withColumn("__label", M.date_label(F.col("value"))).withColumn("__stamp", M.timestamp_kind(F.col("value")))
+    share = lambda c: weighted(c) / F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
     per = x.groupBy(*KEY).agg(
         F.count("value").alias("d"),
-        share(M.is_bool(V)).alias("b"), share(label.isNotNull()).alias("dt"), share(stamp.isNotNull()).alias("ts"),
-        share(M.is_integer(V)).alias("i"), share(M.is_float(V)).alias("f"), share(M.is_uuid(V)).alias("u"),
+        share(M.is_bool(F.col("value"))).alias("b"), share(label.isNotNull()).alias("dt"), share(stamp.isNotNull()).alias("ts"),
+        share(M.is_integer(F.col("value"))).alias("i"), share(M.is_float(F.col("value"))).alias("f"), share(M.is_uuid(F.col("value"))).alias("u"),
         F.sort_array(F.collect_set(label)).alias("labels"), weighted(stamp == "aware").alias("aware"), weighted(stamp == "naive").alias("naive"),
-        (F.sum(F.char_length(V) * N) / F.sum(F.when(V.isNotNull(), N))).alias("length"),
-        weighted(V.isNotNull() & M.number(V).isNull()).alias("not_numbers"),
+        (F.sum(F.char_length(F.col("value")) * F.col("cnt")) / F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))).alias("length"),
+        weighted(F.col("value").isNotNull() & M.number(F.col("value")).isNull()).alias("not_numbers"),
     )
     ok = lambda c: F.col(c) >= s.match_threshold
     mixed = F.size("labels") > 1
@@ -74,7 +73,7 @@ def ranges(vc: DataFrame, types: DataFrame) -> DataFrame:
     from gaugeframe.functions.text import float_text
 
     x = vc.join(F.broadcast(types.select(*KEY, "inferred_type", "is_numeric")), list(KEY))
-    num = M.number(V)
+    num = M.number(F.col("value"))
     per = x.groupBy(*KEY, "inferred_type", "is_numeric").agg(F.min(num).alias("a"), F.max(num).alias("b"), F.min("value").alias("low"), F.max("value").alias("high"))
     pick = lambda n, t: F.when(F.col("is_numeric"), float_text(F.col(n))).when(~F.col("inferred_type").isin(*NO_RANGE), F.col(t))
     return per.select(*KEY, pick("a", "low").alias("min"), pick("b", "high").alias("max"))
@@ -111,10 +110,10 @@ def moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def text_moments(vc: DataFrame, numeric: DataFrame) -> DataFrame:
     """moments() from counted text: deviations from each column's mean, weighted by counts (two passes, no power sums)."""
-    x = vc.join(F.broadcast(numeric.where("is_numeric").select(*KEY)), list(KEY)).where(V.isNotNull()).withColumn("x", M.number(V))
-    mean = x.groupBy(*KEY).agg(F.sum("cnt").alias("n"), (F.sum(F.col("x") * N) / F.sum("cnt")).alias("m"))
+    x = vc.join(F.broadcast(numeric.where("is_numeric").select(*KEY)), list(KEY)).where(F.col("value").isNotNull()).withColumn("x", M.number(F.col("value")))
+    mean = x.groupBy(*KEY).agg(F.sum("cnt").alias("n"), (F.sum(F.col("x") * F.col("cnt")) / F.sum("cnt")).alias("m"))
     d = F.col("x") - F.col("m")
-    power = lambda k: F.sum(F.pow(d, F.lit(k)) * N)
+    power = lambda k: F.sum(F.pow(d, F.lit(k)) * F.col("cnt"))
     y = x.join(F.broadcast(mean), list(KEY)).groupBy(*KEY, "n", "m").agg(power(2).alias("s2"), power(3).alias("s3"), power(4).alias("s4"))
     n, m = F.col("n"), F.col("m")
     pop, v = F.col("s2") / n, F.try_divide(F.col("s2"), n - 1)
@@ -132,10 +131,10 @@ def percentiles(vc: DataFrame, numeric: DataFrame, exact: bool = True) -> DataFr
 
     Exact percentiles hold a column's distinct values, which the caller bounds by the row count (exact_distinct_rows).
     """
-    x = vc.join(F.broadcast(numeric.where("is_numeric").select(*KEY)), list(KEY)).where(V.isNotNull()).withColumn("x", M.number(V))
+    x = vc.join(F.broadcast(numeric.where("is_numeric").select(*KEY)), list(KEY)).where(F.col("value").isNotNull()).withColumn("x", M.number(F.col("value")))
     shares = F.array(*[F.lit(p) for p in SHARES])
     if exact:
-        per = x.groupBy(*KEY).agg(F.sum("cnt").alias("n"), F.percentile("x", shares, N).alias("p"))
+        per = x.groupBy(*KEY).agg(F.sum("cnt").alias("n"), F.percentile("x", shares, F.col("cnt")).alias("p"))
     else:
         per = x.groupBy(*KEY).agg(F.sum("cnt").alias("n"), F.percentile_approx("x", list(SHARES), 10_000).alias("p"))
     at = lambda k: F.when(F.col("n") >= 3, F.col("p")[k])
@@ -148,16 +147,16 @@ def percentiles(vc: DataFrame, numeric: DataFrame, exact: bool = True) -> DataFr
 
 def outliers(vc: DataFrame, fences: DataFrame) -> DataFrame:
     """Values beyond one and a half interquartile ranges from the quartiles."""
-    x = vc.where(V.isNotNull()).join(F.broadcast(fences.where("low_fence is not null").select(*KEY, "low_fence", "high_fence")), list(KEY))
-    num = M.number(V)
+    x = vc.where(F.col("value").isNotNull()).join(F.broadcast(fences.where("low_fence is not null").select(*KEY, "low_fence", "high_fence")), list(KEY))
+    num = M.number(F.col("value"))
     return x.groupBy(*KEY).agg(weighted((num < F.col("low_fence")) | (num > F.col("high_fence"))).alias("outlier_count"))
 
 
 def lengths(vc: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """avg_length of all columns; deciles and maximum of the lengths of textual ones."""
-    size = F.char_length(V)
-    x = vc.where(V.isNotNull()).groupBy(*KEY, size.alias("size")).agg(F.sum("cnt").alias("cnt"))
-    per = x.groupBy(*KEY).agg((F.sum(F.col("size") * N) / F.sum("cnt")).alias("mean"), F.percentile("size", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), N).alias("p"), F.max("size").alias("most"))
+    size = F.char_length(F.col("value"))
+    x = vc.where(F.col("value").isNotNull()).groupBy(*KEY, size.alias("size")).agg(F.sum("cnt").alias("cnt"))
+    per = x.groupBy(*KEY).agg((F.sum(F.col("size") * F.col("cnt")) / F.sum("cnt")).alias("mean"), F.percentile("size", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.col("cnt")).alias("p"), F.max("size").alias("most"))
     textual = F.lit(True)
     if types is not None:
         per, textual = per.join(F.broadcast(types.select(*KEY, "inferred_type")), list(KEY)), F.col("inferred_type").isin(*LENGTH_TYPES)
@@ -168,11 +167,11 @@ def lengths(vc: DataFrame, types: DataFrame | None = None) -> DataFrame:
 def top_values(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(ordinal, column, rank, value, count): the most frequent values, ties by value."""
     order = Window.partitionBy(*KEY).orderBy(F.desc("cnt"), "value")
-    ranked = vc.where(V.isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.top_values)
-    return ranked.select(*KEY, "rank", "value", N.cast("long").alias("count"))
+    ranked = vc.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.top_values)
+    return ranked.select(*KEY, "rank", "value", F.col("cnt").cast("long").alias("count"))
 
 
 def sample_values(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(ordinal, column, rank, value): the smallest distinct values, the same on every run."""
     order = Window.partitionBy(*KEY).orderBy("value")
-    return vc.where(V.isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.sample_values).select(*KEY, "rank", "value")
+    return vc.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.sample_values).select(*KEY, "rank", "value")

@@ -90,3 +90,21 @@ def table_profile(profiles: DataFrame, source_type: str = "file", file_format: s
     issues = F.array(*[F.lit(x) for x in quality.structural_issues(corrupt, encoding)]).cast("array<string>")
     fixed = {"source_type": F.lit(source_type), "file_format": F.lit(file_format), "file_path": F.lit(path), "is_row_count_exact": F.lit(True), "encoding": F.lit(encoding), "size_bytes": F.lit(size_bytes).cast("long"), "size_strategy": F.lit(strategy), "corrupt_row_count": F.lit(corrupt).cast("long"), "structural_issues": issues, "standardization_applied": F.lit(True)}
     return rows.join(nested, "table_name").withColumns(fixed)
+
+
+def light_profiles(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """What relationships need of many tables at once, from value counts whose columns are named `table.column`.
+
+    One row for each column of all tables, computed at once and returned as a local frame.
+    """
+    vc = vc.persist()
+    top = statistics.top_values(vc, s).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("x"))
+    top = top.select(*KEY, F.transform("x", lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"))).alias("top_values"))
+    x = statistics.basics(vc, s).join(statistics.inferred(vc, s), list(KEY)).join(top, list(KEY), "left")
+    x = x.withColumn("is_key_candidate", statistics.key_candidate(s)).withColumn("top_values", F.coalesce("top_values", F.array().cast("array<struct<value:string,count:bigint>>")))
+    table = F.substring_index("column", ".", 1)
+    x = x.withColumn("table_name", table).withColumn("name", F.substr("column", F.char_length(table) + 2)).withColumn("original_name", F.col("name"))
+    x = quality.flagged(x).select("table_name", "ordinal", "name", "column", "inferred_type", "confidence_score", "row_count", "null_count", "distinct_count", "unique_ratio", "cardinality", "is_constant", "is_low_cardinality", "is_key_candidate", "top_values", "quality_flags")
+    rows = x.collect()
+    vc.unpersist()
+    return vc.sparkSession.createDataFrame(rows, x.schema)
