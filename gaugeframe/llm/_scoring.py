@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import fold
+from gaugeframe.llm._shared import batched, fold
 
 #: Texts over this many bytes aren't trained on (they are scored whole like any other).
 LONGEST_TRAINED = 100_000
@@ -49,7 +49,7 @@ def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], name: st
                 texts = [(t or "").encode() for t in rows.column(at_text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score(texts), pa.float64())], [*names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(batched, run, schema)
 
 
 def digest(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], threshold: float) -> DataFrame:

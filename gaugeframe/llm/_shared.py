@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch at most; with long texts, Spark's own 10,000 take too much of a Python worker's memory.
+BATCH_ROWS = 1024
+
+
+def batched(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of a bounded number of rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     sc = spark.sparkContext

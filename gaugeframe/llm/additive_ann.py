@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import cut
+from gaugeframe.llm._shared import batched, cut
 
 #: Codebooks, codewords of each, partial sums kept by the beam, vectors fitted to at most, rounds of k-means, seed.
 BOOKS, WORDS, BEAM, SAMPLE, ROUNDS, SEED = 16, 256, 4, 16_384, 8, 11
@@ -95,7 +95,7 @@ def index(rows: DataFrame, sample: int = SAMPLE) -> tuple[Quantiser | None, Data
                 codes, norm = quantiser.encode(_units(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["vec_id", "codes", "norm"])
 
-    return quantiser, rows.mapInArrow(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, codes binary, norm float")
+    return quantiser, rows.transform(batched, run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, codes binary, norm float")
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def _candidates(codes: DataFrame, quantiser: Quantiser, ids: np.ndarray, units:
             v, s = held[i]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), q)), pa.array(v), pa.array(s.astype(np.float64))], ["query_id", "vec_id", "approx"])
 
-    return codes.mapInArrow(run, "query_id bigint, vec_id bigint, approx double")
+    return codes.transform(batched, run, "query_id bigint, vec_id bigint, approx double")
 
 
 def cosine(a: Column, b: Column) -> Column:

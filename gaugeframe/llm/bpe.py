@@ -10,6 +10,8 @@ tokens come out whole because bytes, not characters, are joined.
 from __future__ import annotations
 
 import codecs
+import contextlib
+import ctypes
 import json
 import os
 import re
@@ -23,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds on what a worker remembers between batches; each entry takes some 200 bytes.
-MAX_CHUNKS, MAX_PIECES, LONG_CHUNK = 600_000, 500_000, 64
+from gaugeframe.llm._shared import batched
+
+#: Bounds on what a worker remembers between batches: entries of a generation (some 200 bytes each), the worker's memory
+#: above which a generation ends early, entries that it has then at least, and bytes of a chunk that is remembered.
+MAX_CHUNKS, MAX_PIECES, WORKER_MB, MIN_ENTRIES, LONG_CHUNK = 600_000, 500_000, 370, 80_000, 64
 #: Pieces that the library gets in one string.
 JOINED = 2000
 #: Rows of a batch that are handled at once.
@@ -45,6 +50,19 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def resident_mb() -> float:
+    """This process's resident memory; 0 where the system doesn't say."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+    except OSError:
+        return 0.0
+
+
+def full(cache: dict, most: int) -> bool:
+    return len(cache) > most or len(cache) > MIN_ENTRIES and resident_mb() > WORKER_MB
+
+
 class ByteBpe:
     """A vocabulary file of the `tokenizers` library with bounded caches of what it has answered."""
 
@@ -85,7 +103,7 @@ class ByteBpe:
 
     def _pieces(self, wanted: set[str]) -> dict[str, bytes]:
         """Ids of each match of the pattern, from the caches or the library."""
-        if len(self.pieces) > MAX_PIECES:
+        if full(self.pieces, MAX_PIECES):
             self.pieces, self.pieces_before = {}, self.pieces
         known, before = self.pieces, self.pieces_before
         new = []
@@ -129,7 +147,7 @@ class ByteBpe:
                 cuts.append([c.encode() for c in _CUT.split(t.decode())])
         heads = {c[0] for c in cuts}
         heads = self._resolve({c: c.decode() for c in heads})
-        if len(self.chunks) > MAX_CHUNKS:
+        if full(self.chunks, MAX_CHUNKS):
             self.chunks, self.chunks_before = {}, self.chunks
         known, before = self.chunks, self.chunks_before
         new = {}
@@ -167,6 +185,9 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBpe:
+    """The vocabulary of this worker; memory that earlier tasks have freed goes back to the system first."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     return ByteBpe(path)
 
 
@@ -201,7 +222,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                     names += ["starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(*[F.col(c) for c in keep], F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(c) for c in keep], F.col(text).cast("string").cast("binary").alias("__text")).transform(batched, run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -219,7 +240,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
                 out = pa.array([bpe.decode(x) for x in rows.column(at_ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rows.columns, out], [*names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(batched, run, schema)
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:

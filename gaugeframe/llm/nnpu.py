@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.llm._shared import batched
+
 from gaugeframe.llm import _scoring
 from gaugeframe.llm._scoring import Adam, sigmoid
 
@@ -100,7 +102,7 @@ def _hashed(texts: DataFrame) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "f"])
 
     out = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, f array<bigint>"
-    got = texts.select("doc_id", "text").mapInArrow(run, out).toArrow().sort_by("doc_id")
+    got = texts.select("doc_id", "text").transform(batched, run, out).toArrow().sort_by("doc_id")
     return [np.asarray(x, np.int64) for x in got["f"].to_pylist()]
 
 

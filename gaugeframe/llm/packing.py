@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.llm._shared import batched
+
 from gaugeframe.llm import bpe
 
 WINDOW, END = 1024, 0
@@ -179,4 +181,4 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
         if packer.pieces:
             yield out()
 
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).transform(batched, run, schema)

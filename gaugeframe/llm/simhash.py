@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import cut, parts
+from gaugeframe.llm._shared import batched, cut, parts
 from gaugeframe.llm.components import components
 
 WORDS, SEED, BUDGET = 3, 42, 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint"
-    return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select("doc_id", F.col(text).cast("string").alias("text")).transform(batched, run, out)
 
 
 class _Spread:

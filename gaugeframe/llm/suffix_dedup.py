@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import cut, parts
+from gaugeframe.llm._shared import batched, cut, parts
 
 LENGTH, GRAM = 200, 80
 LEFT, SPAN = LENGTH - GRAM, LENGTH - GRAM + 1
@@ -128,7 +128,7 @@ def anchor_rows(base: DataFrame) -> DataFrame:
                 at = (start << 16) | (left << 8) | right
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(keys[first + owner]), pa.array(at)], ["h", "around", "key", "at"])
 
-    return base.select("key", "text").mapInArrow(run, "h bigint, around bigint, key bigint, at bigint")
+    return base.select("key", "text").transform(batched, run, "h bigint, around bigint, key bigint, at bigint")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def surroundings(base: DataFrame, members: DataFrame) -> DataFrame:
                 keys = pa.array(np.full(len(at), batch.column(1)[i].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([want.field("h"), keys, want.field("at"), want.field("same"), want.field("differ"), cuts], ["h", "key", "at", "same", "differ", "around"])
 
-    return joined.mapInArrow(run, "h bigint, key bigint, at bigint, same boolean, differ bigint, around binary")
+    return joined.transform(batched, run, "h bigint, key bigint, at bigint, same boolean, differ bigint, around binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -248,7 +248,7 @@ def covered_by_tree(around: DataFrame) -> DataFrame:
                 yield packed()
         yield packed()
 
-    return _shards(around).mapInArrow(run, "key bigint, begin bigint, end bigint")
+    return _shards(around).transform(batched, run, "key bigint, begin bigint, end bigint")
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def maximal_repeats(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], ["repeat", "length", "key", "start"])
 
-    found = _shards(around).mapInArrow(run, "repeat string, length bigint, key bigint, start bigint")
+    found = _shards(around).transform(batched, run, "repeat string, length bigint, key bigint, start bigint")
     return found.join(base.select("doc_id", "key"), "key").select("repeat", "length", "doc_id", "start")
 
 
@@ -285,7 +285,7 @@ def covered_by_window(around: DataFrame) -> DataFrame:
                 value = _mixed(value + np.uint64(h & (1 << 64) - 1) + (left - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(begin), key, np.int64)), pa.array((at >> 16) - left + begin)], ["w", "key", "begin"])
 
-    windows = around.select("h", "key", "at", "around").mapInArrow(run, "w bigint, key bigint, begin bigint")
+    windows = around.select("h", "key", "at", "around").transform(batched, run, "w bigint, key bigint, begin bigint")
     by = Window.partitionBy("w").orderBy("key", "begin")
     again = F.lag("w").over(by).isNotNull() | F.lead("w").over(by).isNotNull()
     return windows.withColumn("again", again).where("again").select("key", "begin", (F.col("begin") + LENGTH).alias("end"))
@@ -353,7 +353,7 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.transform(batched, run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(stays, pa.bool_())], [*names, "__stays"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __stays boolean"
-    kept = joined.select(*names, "__spans").mapInArrow(run, schema).where("__stays")
+    kept = joined.select(*names, "__spans").transform(batched, run, schema).where("__stays")
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*names)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import bpe
-from gaugeframe.llm._shared import cut, shared_dir
+from gaugeframe.llm._shared import batched, cut, shared_dir
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
@@ -41,7 +41,7 @@ def counted(docs: DataFrame, tokenizer: str = VERSION, path: str | None = None)
     size: Column = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.cast("binary").alias("text"), size.alias("n_bytes"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_hash"))
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, n_tokens bigint, n_bytes bigint, text_hash string"
-    return rows.mapInArrow(run, out).withColumn("tokenizer", F.lit(tokenizer))
+    return rows.transform(batched, run, out).withColumn("tokenizer", F.lit(tokenizer))
 
 
 def inserts(counts: DataFrame) -> DataFrame:
