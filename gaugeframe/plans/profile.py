@@ -15,15 +15,22 @@ from gaugeframe.operators.columns import KEY, long_form, report, standardised
 from gaugeframe.settings import DEFAULT, Settings
 
 #: The fixed schema of column_profiles; what can't be computed is null, never left out.
-STRUCT = T.StructType.fromDDL(
-    "table_name string, ordinal int, name string, original_name string, declared_type string, inferred_type string, confidence_score double,"
-    "null_count bigint, distinct_count bigint, is_distinct_count_exact boolean, unique_ratio double, cardinality string, is_nullable boolean,"
-    "is_constant boolean, is_sparse boolean, is_key_candidate boolean, is_low_cardinality boolean, min string, max string, skewness double,"
-    "mean double, median double, std_dev double, variance double, kurtosis double, p5 double, p25 double, p75 double, p95 double, iqr double,"
-    "coefficient_of_variation double, outlier_count bigint, avg_length double, length_p10 double, length_p50 double, length_p90 double,"
-    "length_max int, semantic_type string, description string, top_values array<struct<value:string,count:bigint>>, sample_values array<string>,"
-    "row_count bigint, format_variants array<string>, type_flags array<string>, nulls_normalized bigint"
-)
+_KINDS = {
+    T.StringType(): "table_name name original_name declared_type inferred_type cardinality min max semantic_type description",
+    T.IntegerType(): "ordinal length_max",
+    T.LongType(): "null_count distinct_count outlier_count row_count nulls_normalized",
+    T.BooleanType(): "is_distinct_count_exact is_nullable is_constant is_sparse is_key_candidate is_low_cardinality",
+    T.ArrayType(T.StringType()): "sample_values format_variants type_flags",
+    T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("count", T.LongType())])): "top_values",
+}
+_ORDER = (
+    "table_name ordinal name original_name declared_type inferred_type confidence_score null_count distinct_count is_distinct_count_exact unique_ratio "
+    "cardinality is_nullable is_constant is_sparse is_key_candidate is_low_cardinality min max skewness mean median std_dev variance kurtosis p5 p25 p75 "
+    "p95 iqr coefficient_of_variation outlier_count avg_length length_p10 length_p50 length_p90 length_max semantic_type description top_values "
+    "sample_values row_count format_variants type_flags nulls_normalized"
+).split()
+_KIND_OF = {c: k for k, names in _KINDS.items() for c in names.split()}
+STRUCT = T.StructType([T.StructField(c, _KIND_OF.get(c, T.DoubleType())) for c in _ORDER])
 FIELDS = [*[c for c in STRUCT.fieldNames() if c not in ("row_count", "format_variants", "type_flags", "nulls_normalized")], "quality_flags", "row_count", "format_variants"]
 #: What a column without any row has.
 EMPTY = {

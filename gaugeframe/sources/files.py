@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 class HadoopFile(io.RawIOBase):
     def __init__(self, spark: SparkSession, path: str):
-        self._gateway = spark.sparkContext._gateway
+        self._jvm = spark._jvm
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
         self.size = fs.getFileStatus(p).getLen()
@@ -31,9 +31,8 @@ class HadoopFile(io.RawIOBase):
     def readinto(self, buffer) -> int:
         n = min(len(buffer), max(0, self.size - self._at))
         if n:
-            got = self._gateway.new_array(self._gateway.jvm.byte, n)
-            self._in.readFully(self._at, got, 0, n)
-            buffer[:n] = bytes(got)
+            self._in.seek(self._at)
+            buffer[:n] = self._jvm.org.apache.commons.io.IOUtils.toByteArray(self._in, n)
             self._at += n
         return n
 
