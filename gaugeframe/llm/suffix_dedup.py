@@ -8,7 +8,8 @@ their left, the common left extensions show where the repeat ends on that side;
 is a maximal repeat with all its occurrences. A byte is removed where left and right extension together reach 200.
 
 Occurrences whose whole surroundings (120 bytes left, 200 right) are equal are counted, not expanded: they need no
-scan. Hashes are 64 bits wide; extensions are compared byte by byte.
+scan. Within a batch they are combined before the shuffle, so a passage that a third of all documents share doesn't send
+a third of all anchors to one task. Hashes are 64 bits wide; extensions are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -117,27 +118,61 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
             begin, size = i + 1, 0
 
 
+#: What `kind` says of a row: one anchor, one that stands for several with equal surroundings, a stretch they cover.
+ONE, MANY, COVER = 0, 1, 2
+
+
+def combined(keys: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, h: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(h, around, key, at, kind) of some anchors; those with equal surroundings become one row and the merged stretches.
+
+    However often a passage occurs in a batch, its anchors leave it once; stretches are dealt by document, not by gram.
+    """
+    order = np.lexsort((start, keys, around, h))
+    keys, start, left, right, h, around = (x[order] for x in (keys, start, left, right, h, around))
+    head = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])
+    many = np.diff(np.append(np.flatnonzero(head), len(h))) > 1
+    same = np.repeat(many, np.diff(np.append(np.flatnonzero(head), len(h))))
+    rows = [h[head].view(np.int64), around[head].view(np.int64), keys[head], ((start << 16) | (left << 8) | right)[head], many.astype(np.int32)]
+    if not same.any():
+        return tuple(rows)
+    own, begin, end = keys[same], (start - left)[same], (start + right)[same]
+    by = np.lexsort((begin, own))
+    own, begin, end = own[by], begin[by], end[by]
+    base = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]])) << 40  # documents apart, so that one scan merges all
+    a, b = merged(begin + base, end + base)
+    at = np.searchsorted(begin + base, a)
+    cover = [own[at], a - base[at], own[at], b - base[at], np.full(len(a), COVER, np.int32)]
+    return tuple(np.concatenate(x) for x in zip(rows, cover, strict=True))
+
+
 def anchor_rows(base: DataFrame) -> DataFrame:
-    """(doc_id, key, text) -> (h, around, key, at): at packs start, left and right."""
+    """(doc_id, key, text) -> (h, around, key, at, kind): at packs start, left and right; a cover has begin and end instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for first, some in _runs(texts):
-                owner, start, left, right, h, around = anchors(some)
-                at = (start << 16) | (left << 8) | right
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(keys[first + owner]), pa.array(at)], ["h", "around", "key", "at"])
+            keys, found = batch.column(0).to_numpy(), []
+            for first, some in _runs(batch.column(1).to_pylist()):
+                owner, *rest = anchors(some)
+                found.append((keys[first + owner], *rest))
+            if found:
+                rows = combined(*[np.concatenate(x) for x in zip(*found, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["h", "around", "key", "at", "kind"])
 
-    return base.select("key", "text").transform(batched, run, "h bigint, around bigint, key bigint, at bigint")
+    return base.select("key", "text").transform(batched, run, "h bigint, around bigint, key bigint, at bigint, kind int")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Anchors whose gram occurs again: `same` if the surroundings do too, `first` of equal surroundings, and how many differ."""
+    """Covers, and anchors whose gram occurs again: `same` if the surroundings do too, `first` of equal surroundings, and how many differ."""
     by = Window.partitionBy("h").orderBy("around")
-    before, after = F.lag("around").over(by), F.lead("around").over(by)
-    now = rows.select("*", (~F.col("around").eqNullSafe(before)).alias("first"), (F.col("around").eqNullSafe(before) | F.col("around").eqNullSafe(after)).alias("same"))
+    anchor = F.col("kind") != COVER
+    group = F.when(anchor, F.col("around"))
+    before, after = F.lag(group).over(by), F.lead(group).over(by)
+    again = F.coalesce(F.col("around") == before, F.lit(False))
+    now = rows.select("*", (anchor & ~again).alias("first"), (again | F.coalesce(F.col("around") == after, F.lit(False)) | (F.col("kind") == MANY)).alias("same"))
     now = now.withColumn("differ", F.sum(F.col("first").cast("int")).over(Window.partitionBy("h")))
-    return now.where("same or differ > 1").select("h", "key", "at", "first", "same", "differ")
+    cover = F.col("kind") == COVER
+    now = now.where(cover | F.col("same") | (F.col("differ") > 1))
+    return now.select("h", F.when(cover, F.col("around")).alias("begin"), "key", "at", "kind", "first", (F.col("same") & ~cover).alias("same"), "differ")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -302,10 +337,11 @@ def covered(docs: DataFrame, tree_members: int = TREE_MEMBERS) -> DataFrame:
     base = _base(docs)
     found = cut(repeated(anchor_rows(base)))
     start = F.shiftright("at", 16)
-    whole = found.where("same").select("key", (start - F.shiftright("at", 8).bitwiseAND(255)).alias("begin"), (start + F.col("at").bitwiseAND(255)).alias("end"))
+    known = found.where(F.col("kind") == COVER).select("key", "begin", F.col("at").alias("end"))
+    whole = found.where(F.col("same") & (F.col("kind") == ONE)).select("key", (start - F.shiftright("at", 8).bitwiseAND(255)).alias("begin"), (start + F.col("at").bitwiseAND(255)).alias("end"))
     members = found.where(F.col("first") & (F.col("differ") > 1))
     tree = covered_by_tree(surroundings(base, members.where(F.col("differ") <= tree_members)))
-    out = whole.union(tree)
+    out = known.union(whole).union(tree)
     if members.where(F.col("differ") > tree_members).limit(1).count():
         out = out.union(covered_by_window(surroundings(base, members.where(F.col("differ") > tree_members))))
     return out
