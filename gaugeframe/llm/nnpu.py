@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning, in numpy.
 
 Confirmed toxic documents are the positives; all other text counts as unlabelled, whatever it is. The risk of calling
-unlabelled text clean is corrected by the class prior and kept from going negative (its gradient is reversed where it
-does). The classifier is linear over the hashed set of words of the whole text.
+unlabelled text clean is corrected by the class prior and kept from going negative (it counts as zero where it would). The
+classifier is linear over the hashed set of words of the whole text.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ POSITIVES, UNLABELLED = 4000, 8000
 #: A word is a feature if this many distinct positives have it, and its share of them is so many standard errors above
 #: its share of the unlabelled; other words weigh nothing.
 MIN_POSITIVES, MIN_Z = 3, 6.0
-PASSES, RATE, DECAY, PU_STEP = 300, 0.05, 2e-3, 1.0
+PASSES, RATE, DECAY = 300, 0.05, 5e-4
 THRESHOLD = 0.3
 
 #: ASCII letters in lower case; digits and bytes of other characters as they are; the rest separates words.
@@ -82,12 +82,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         # logistic loss: l(f, +1) = -log s(f), l(f, -1) = -log(1 - s(f)); their slopes are s - 1 and s
         clean = -np.log1p(-np.minimum(fu, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(fp, 1 - 1e-12)).mean()
         g_toxic, gp, gu = prior * (fp - 1) / len(fp), -prior * fp / len(fp), fu / len(fu)
-        if clean < 0:
-            dp, du = -PU_STEP * gp, -PU_STEP * gu
-        else:
-            dp, du = g_toxic + gp, gu
+        dp, du = (g_toxic, 0 * gu) if clean < 0 else (g_toxic + gp, gu)  # a negative clean risk counts as none
         gw = np.bincount(pc, dp[pd], len(used)) + np.bincount(uc, du[ud], len(used)) + DECAY * prior * w
         adam.step([gw, np.array([dp.sum() + du.sum()])])
+    # the mean score over unlabelled text is the share of toxic documents in it: this fixes the base, which few positives leave loose
+    margin = np.bincount(ud, w[uc], len(unlabelled))
+    low, high = -30.0, 30.0
+    for _ in range(60):
+        b[0] = (low + high) / 2
+        low, high = (low, b[0]) if sigmoid(margin + b[0]).mean() > prior else (b[0], high)
     weights = np.zeros(1 << BITS)
     weights[used] = w
     return Linear(weights, float(b[0]))
