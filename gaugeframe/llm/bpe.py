@@ -29,7 +29,7 @@ from gaugeframe.llm._shared import batched
 
 #: Bounds on what a worker remembers between batches: entries of a generation (some 200 bytes each), the worker's memory
 #: above which a generation ends early, entries that it has then at least, and bytes of a chunk that is remembered.
-MAX_CHUNKS, MAX_PIECES, WORKER_MB, MIN_ENTRIES, LONG_CHUNK = 600_000, 500_000, 370, 80_000, 64
+MAX_CHUNKS, MAX_PIECES, WORKER_MB, MIN_ENTRIES, LONG_CHUNK = 600_000, 500_000, 300, 80_000, 64
 #: Pieces that the library gets in one string.
 JOINED = 2000
 #: Rows of a batch that are handled at once.
@@ -59,6 +59,11 @@ def resident_mb() -> float:
         return 0.0
 
 
+def trimmed() -> None:
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def full(cache: dict, most: int) -> bool:
     return len(cache) > most or len(cache) > MIN_ENTRIES and resident_mb() > WORKER_MB
 
@@ -163,6 +168,11 @@ class ByteBpe:
                 del known[c]
         return out
 
+    def rest(self) -> None:
+        """At the end of a task: the older generations go, and freed memory back to the system."""
+        self.chunks_before, self.pieces_before = {}, {}
+        trimmed()
+
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes that the ids stand for."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
@@ -186,8 +196,7 @@ class ByteBpe:
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBpe:
     """The vocabulary of this worker; memory that earlier tasks have freed goes back to the system first."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    trimmed()
     return ByteBpe(path)
 
 
@@ -221,6 +230,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                     columns += [pa.array([x[k] for x in both], pa.list_(pa.int64())) for k in (0, 1)]
                     names += ["starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.rest()
 
     return df.select(*[F.col(c) for c in keep], F.col(text).cast("string").cast("binary").alias("__text")).transform(batched, run, schema)
 

@@ -180,5 +180,6 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
         packer.finish()
         if packer.pieces:
             yield out()
+        coder.rest()
 
     return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).transform(batched, run, schema)

@@ -36,6 +36,7 @@ def counted(docs: DataFrame, tokenizer: str = VERSION, path: str | None = None)
                 rows = batch.slice(at, bpe.SLICE)
                 n = np.array([len(x) // 4 for x in coder.encode(rows.column(3).to_pylist())], np.int64)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(n), *rows.columns[4:]], ["doc_id", "source", "lang", "n_tokens", "n_bytes", "text_hash"])
+        coder.rest()
 
     text = F.col("text").cast("string")
     size: Column = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
