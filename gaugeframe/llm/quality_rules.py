@@ -112,10 +112,17 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def without_lines(docs: DataFrame, often: DataFrame, host: str = "source") -> DataFrame:
-    """docs with the frequent lines (host, h) taken out of `text`; other columns and lines stay as they are."""
-    by_host = often.groupBy("host").agg(F.collect_set("h").alias("__often")).withColumnRenamed("host", "__host")
-    joined = docs.join(by_host, F.col(host).eqNullSafe(F.col("__host")), "left")
-    bad = F.coalesce("__often", F.array().cast("array<bigint>"))
-    kept = F.filter(lines(F.col("text")), lambda x: ~F.array_contains(bad, F.xxhash64(normalised(x))) | ~has_word(x))
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).drop("__host", "__often")
+    """docs with the frequent lines (host, h) taken out of `text`; other columns and lines stay as they are.
+
+    Each document meets only the frequent lines that it has. Rows that repeat a doc_id and text are treated alike.
+    """
+    text = F.col("text").cast("string")
+    hashes = F.array_distinct(F.transform(F.filter(lines(text), has_word), lambda x: F.xxhash64(normalised(x))))
+    each = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__th"), F.col(host).alias("__of"), F.explode(hashes).alias("__line"))
+    many = _small(often.select(F.col("host").alias("__host"), F.col("h").alias("__h")))
+    hits = each.join(many, (F.col("__line") == F.col("__h")) & F.col("__of").eqNullSafe(F.col("__host")), "left_semi")
+    hits = hits.groupBy("__id", "__th", "__of").agg(F.collect_set("__line").alias("__hits"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th")) & docs[host].eqNullSafe(F.col("__of"))
+    kept = F.array_join(F.filter(lines(text), lambda x: ~F.array_contains("__hits", F.xxhash64(normalised(x))) | ~has_word(x)), "\n")
+    joined = docs.join(hits, same, "left")
+    return joined.select(*[F.when(F.col("__hits").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
