@@ -17,18 +17,23 @@ def weighted(c: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0)).cast("long")
 
 
-def counts(vc: DataFrame) -> DataFrame:
-    """rows, null_count, distinct_count and the number of values per column."""
-    return vc.groupBy(*KEY).agg(F.sum("cnt").cast("long").alias("row_count"), weighted(F.col("value").isNull()).alias("null_count"), F.count("value").cast("long").alias("distinct_count"))
+def distinct(exact: bool) -> Column:
+    """Distinct values: the rows of counted values, or a sketch over values that weren't counted."""
+    return (F.count("value") if exact else F.approx_count_distinct("value", 0.01)).cast("long")
 
 
-def inferred(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def counts(vc: DataFrame, exact: bool = True) -> DataFrame:
+    """rows, null_count and distinct_count per column."""
+    return vc.groupBy(*KEY).agg(F.sum("cnt").cast("long").alias("row_count"), weighted(F.col("value").isNull()).alias("null_count"), distinct(exact).alias("distinct_count"))
+
+
+def inferred(vc: DataFrame, s: Settings = DEFAULT, exact: bool = True) -> DataFrame:
     """inferred_type, confidence_score, format_variants and flags per column, from one pass over its counted values."""
     label, stamp = F.col("__label"), F.col("__stamp")
     x = vc.withColumn("__label", M.date_label(F.col("value"))).withColumn("__stamp", M.timestamp_kind(F.col("value")))
     share = lambda c: weighted(c) / F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
     per = x.groupBy(*KEY).agg(
-        F.count("value").alias("d"),
+        distinct(exact).alias("d"),
         share(M.is_bool(F.col("value"))).alias("b"), share(label.isNotNull()).alias("dt"), share(stamp.isNotNull()).alias("ts"),
         share(M.is_integer(F.col("value"))).alias("i"), share(M.is_float(F.col("value"))).alias("f"), share(M.is_uuid(F.col("value"))).alias("u"),
         F.sort_array(F.collect_set(label)).alias("labels"), weighted(stamp == "aware").alias("aware"), weighted(stamp == "naive").alias("naive"),
@@ -51,11 +56,11 @@ def inferred(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return out.select(*KEY, "inferred_type", "confidence_score", variants.alias("format_variants"), flags.alias("type_flags"), numeric.alias("is_numeric"))
 
 
-def basics(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def basics(vc: DataFrame, s: Settings = DEFAULT, exact: bool = True) -> DataFrame:
     """Counts, ratio, cardinality and the flags of a column; needs no type."""
-    c = counts(vc)
+    c = counts(vc, exact)
     rows, d, nulls = F.col("row_count"), F.col("distinct_count"), F.col("null_count")
-    ratio = F.when(rows > 0, d / rows).otherwise(0.0)
+    ratio = F.when(rows > 0, F.least(d / rows, F.lit(1.0))).otherwise(0.0)
     size = F.when(ratio > s.high_cardinality, "HIGH").when(ratio > s.low_cardinality, "MEDIUM").otherwise("LOW")
     return c.select(
         *KEY, "row_count", "null_count", "distinct_count", (rows <= s.exact_distinct_rows).alias("is_distinct_count_exact"),
@@ -127,7 +132,7 @@ def text_moments(vc: DataFrame, numeric: DataFrame) -> DataFrame:
 
 
 def percentiles(vc: DataFrame, numeric: DataFrame, exact: bool = True) -> DataFrame:
-    """p5, p25, median, p75, p95 and iqr by linear interpolation, from counted values; approximate if exact is not asked.
+    """p5, p25, median, p75, p95 and iqr by linear interpolation from counted values; by a sketch from uncounted ones.
 
     Exact percentiles hold a column's distinct values, which the caller bounds by the row count (exact_distinct_rows).
     """
@@ -175,3 +180,9 @@ def sample_values(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(ordinal, column, rank, value): the smallest distinct values, the same on every run."""
     order = Window.partitionBy(*KEY).orderBy("value")
     return vc.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.sample_values).select(*KEY, "rank", "value")
+
+
+def frequent_values(rows: DataFrame, s: Settings = DEFAULT, tracked: int = 10_000) -> DataFrame:
+    """top_values of uncounted values, by a sketch that tracks a bounded number of them: (ordinal, column, x)."""
+    per = rows.where(F.col("value").isNotNull()).groupBy(*KEY).agg(F.expr(f"approx_top_k(value, {s.top_values}, {tracked})").alias("x"))
+    return per.select(*KEY, F.transform("x", lambda t: F.struct(t["item"].alias("value"), t["count"].alias("count"))).alias("x"))
