@@ -39,7 +39,8 @@ SLICE = 256
 #: 2028, 2029, 202F, 205F, 3000.
 _ODD_SPACE = re.compile(rb" (?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)")
 _SPACE = re.compile(r"\s")
-_MARKS = frozenset(".,;:!?")
+#: Marks at a word's end that the pattern matches by themselves.
+MARKS = ".,;:!?"
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -93,6 +94,7 @@ class ByteBpe:
         self.lengths = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
         self.chunks, self.chunks_before = {}, {}
         self.pieces, self.pieces_before = {}, {}
+        self.marks = {m.encode(): array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in MARKS}
 
     def _joined(self, pieces: list[str], mark: str) -> dict[str, bytes]:
         """Ids of pieces that the pattern keeps apart when they follow each other, with the mark between."""
@@ -128,17 +130,20 @@ class ByteBpe:
 
     def _resolve(self, chunks: dict[bytes, str]) -> dict[bytes, bytes]:
         """Ids of each chunk (given with its text)."""
-        cut = {}
-        for c, text in chunks.items():
-            if text[1:].isalpha() and text[0] == " ":  # the pattern matches it whole, or all but a mark at its end
-                cut[c] = (text,)
-            elif text[-1:] in _MARKS and text[1:-1].isalpha() and text[0] == " ":
-                cut[c] = (text[:-1], text[-1])
-            else:
-                cut[c] = self.matches(text)
+        cut = {c: self.matches(text) for c, text in chunks.items()}
         known = self._pieces(set(chain.from_iterable(cut.values())))
         return {c: b"".join([known[p] for p in found]) for c, found in cut.items()}
 
+    def _recall(self, wanted: set[bytes]) -> list[bytes]:
+        """Those of the chunks that neither generation has; what the older one has moves to the younger."""
+        known, before, new = self.chunks, self.chunks_before, []
+        for c in wanted.difference(known):
+            if (ids := before.get(c)) is None:
+                new.append(c)
+            else:
+                known[c] = ids
+        return new
+
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers; a null has none.
 
@@ -154,14 +159,24 @@ class ByteBpe:
         heads = self._resolve({c: c.decode() for c in heads})
         if full(self.chunks, MAX_CHUNKS):
             self.chunks, self.chunks_before = {}, self.chunks
-        known, before = self.chunks, self.chunks_before
-        new = {}
-        for c in set(chain.from_iterable(cuts)).difference(known):
-            if (ids := before.get(c)) is None:
-                new[c] = " " + c.decode()
+        known = self.chunks
+        new = self._recall(set(chain.from_iterable(cuts)))
+        words, marked, odd = [], [], {}
+        for c in new:
+            text = c.decode()
+            if text.isalpha():  # the pattern matches it whole with its space, or all but a mark at its end
+                words.append(c)
+            elif c[-1:] in self.marks and text[:-1].isalpha():
+                marked.append(c)
             else:
-                known[c] = ids
-        known.update(self._resolve(new))
+                odd[c] = " " + text
+        words += self._recall({c[:-1] for c in marked}.difference(words))
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            known.update(zip(some, self._joined([" " + c.decode() for c in some], "").values(), strict=True))
+        for c in marked:
+            known[c] = known[c[:-1]] + self.marks[c[-1:]]
+        known.update(self._resolve(odd))
         out = [heads[c[0]] + b"".join([known[x] for x in c[1:]]) for c in cuts]
         for c in new:
             if len(c) > LONG_CHUNK:
