@@ -10,13 +10,14 @@ near copies isn't expanded into pairs. Only a spanning forest leaves each shard.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.llm import near_copies
 from gaugeframe.llm._shared import batched, cut, parts
 from gaugeframe.llm.components import components
 
@@ -190,8 +191,8 @@ def links(fps: DataFrame, n: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every document, links being fingerprints with at most three differing bits.
+def linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every document by op6's contract, links being fingerprints with at most three differing bits.
 
     component_id is the smallest doc_id of the component. Texts that are null, empty or without a word have fingerprint
     zero and are linked like any other. Repeated rows stay repeated; a null doc_id never names a component unless the
@@ -211,10 +212,15 @@ def hex_digits(fp: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    return linked(docs).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = near_copies.WORDS, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """(doc_id, node, component_id) for corpora: links are word shingles of at least that Jaccard similarity, not op6's."""
+    return near_copies.groups(docs, words=words, similarity=similarity)
+
+
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = linked) -> DataFrame:
     """The documents that name their component: one of each group of near copies, the one with the smallest doc_id."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    stay = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
