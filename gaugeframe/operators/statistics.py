@@ -17,23 +17,18 @@ def weighted(c: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0)).cast("long")
 
 
-def distinct(exact: bool) -> Column:
-    """Distinct values: the rows of counted values, or a sketch over values that weren't counted."""
-    return (F.count("value") if exact else F.approx_count_distinct("value", 0.01)).cast("long")
-
-
-def counts(vc: DataFrame, exact: bool = True) -> DataFrame:
+def counts(vc: DataFrame) -> DataFrame:
     """rows, null_count and distinct_count per column."""
-    return vc.groupBy(*KEY).agg(F.sum("cnt").cast("long").alias("row_count"), weighted(F.col("value").isNull()).alias("null_count"), distinct(exact).alias("distinct_count"))
+    return vc.groupBy(*KEY).agg(F.sum("cnt").cast("long").alias("row_count"), weighted(F.col("value").isNull()).alias("null_count"), F.count("value").cast("long").alias("distinct_count"))
 
 
-def inferred(vc: DataFrame, s: Settings = DEFAULT, exact: bool = True) -> DataFrame:
+def inferred(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """inferred_type, confidence_score, format_variants and flags per column, from one pass over its counted values."""
     label, stamp = F.col("__label"), F.col("__stamp")
     x = vc.withColumn("__label", M.date_label(F.col("value"))).withColumn("__stamp", M.timestamp_kind(F.col("value")))
     share = lambda c: weighted(c) / F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
     per = x.groupBy(*KEY).agg(
-        distinct(exact).alias("d"),
+        F.count("value").alias("d"),
         share(M.is_bool(F.col("value"))).alias("b"), share(label.isNotNull()).alias("dt"), share(stamp.isNotNull()).alias("ts"),
         share(M.is_integer(F.col("value"))).alias("i"), share(M.is_float(F.col("value"))).alias("f"), share(M.is_uuid(F.col("value"))).alias("u"),
         F.sort_array(F.collect_set(label)).alias("labels"), weighted(stamp == "aware").alias("aware"), weighted(stamp == "naive").alias("naive"),
@@ -56,11 +51,11 @@ def inferred(vc: DataFrame, s: Settings = DEFAULT, exact: bool = True) -> DataFr
     return out.select(*KEY, "inferred_type", "confidence_score", variants.alias("format_variants"), flags.alias("type_flags"), numeric.alias("is_numeric"))
 
 
-def basics(vc: DataFrame, s: Settings = DEFAULT, exact: bool = True) -> DataFrame:
+def basics(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Counts, ratio, cardinality and the flags of a column; needs no type."""
-    c = counts(vc, exact)
+    c = counts(vc)
     rows, d, nulls = F.col("row_count"), F.col("distinct_count"), F.col("null_count")
-    ratio = F.when(rows > 0, F.least(d / rows, F.lit(1.0))).otherwise(0.0)
+    ratio = F.when(rows > 0, d / rows).otherwise(0.0)
     size = F.when(ratio > s.high_cardinality, "HIGH").when(ratio > s.low_cardinality, "MEDIUM").otherwise("LOW")
     return c.select(
         *KEY, "row_count", "null_count", "distinct_count", (rows <= s.exact_distinct_rows).alias("is_distinct_count_exact"),
@@ -131,17 +126,46 @@ def text_moments(vc: DataFrame, numeric: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(vc: DataFrame, numeric: DataFrame, exact: bool = True) -> DataFrame:
-    """p5, p25, median, p75, p95 and iqr by linear interpolation from counted values; by a sketch from uncounted ones.
-
-    Exact percentiles hold a column's distinct values, which the caller bounds by the row count (exact_distinct_rows).
+def _ranked(x: DataFrame) -> DataFrame:
+    """(n, p) of SHARES per column as F.percentile has them, by sorted counts: no task holds all values of a column."""
+    once = x.groupBy(*KEY, "x").agg(F.sum("cnt").alias("c"))
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = once.repartitionByRange(parts, *KEY, "x").withColumn("part", F.spark_partition_id()).persist()
+    sums = dealt.groupBy(*KEY, "part").agg(F.sum("c").alias("s")).collect()
+    before, total = [], {}
+    for r in sorted(sums, key=lambda r: r["part"]):
+        key = (r["ordinal"], r["column"])
+        before.append((*key, r["part"], total.get(key, 0)))
+        total[key] = total.get(key, 0) + r["s"]
+    spark, fields = x.sparkSession, dealt.select(*KEY, "part").schema
+    heads = spark.createDataFrame(before, T.StructType([*fields, T.StructField("before", T.LongType())]))
+    sizes = spark.createDataFrame([(*k, n) for k, n in total.items()], T.StructType([*fields[:2], T.StructField("n", T.LongType())]))
+    share = F.posexplode(F.array(*[F.lit(p) for p in SHARES])).alias("k", "share")
+    asked = sizes.select(*KEY, "n", share).withColumn("at", F.col("share") * (F.col("n") - 1))
+    own = Window.partitionBy("part", *KEY).orderBy("x")
+    ends = dealt.join(F.broadcast(heads), [*KEY, "part"]).withColumn("end", F.col("before") + F.sum("c").over(own)).withColumn("start", F.col("end") - F.col("c"))
+    holds = lambda f: (F.col("start") <= f("at")) & (f("at") < F.col("end"))
+    met = ends.join(F.broadcast(asked), list(KEY)).where(holds(F.floor) | holds(F.ceil))
+    per = met.groupBy(*KEY, "n", "k", "at").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    low, high = F.floor("at"), F.ceil("at")
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
+    out = per.groupBy(*KEY, "n").agg(F.sort_array(F.collect_list(F.struct("k", value.alias("v")))).alias("p"))
+    rows = out.select(*KEY, "n", F.transform("p", lambda t: t["v"]).alias("p"))
+    found = spark.createDataFrame(rows.collect(), rows.schema)
+    dealt.unpersist()
+    return found
+
+
+def percentiles(vc: DataFrame, numeric: DataFrame, held: bool = True) -> DataFrame:
+    """p5, p25, median, p75, p95 and iqr by linear interpolation, from counted values; exact either way.
+
+    If held, a column's distinct values are held at once; the caller says no above exact_distinct_rows.
     """
     x = vc.join(F.broadcast(numeric.where("is_numeric").select(*KEY)), list(KEY)).where(F.col("value").isNotNull()).withColumn("x", M.number(F.col("value")))
-    shares = F.array(*[F.lit(p) for p in SHARES])
-    if exact:
-        per = x.groupBy(*KEY).agg(F.sum("cnt").alias("n"), F.percentile("x", shares, F.col("cnt")).alias("p"))
+    if held:
+        per = x.groupBy(*KEY).agg(F.sum("cnt").alias("n"), F.percentile("x", F.array(*[F.lit(p) for p in SHARES]), F.col("cnt")).alias("p"))
     else:
-        per = x.groupBy(*KEY).agg(F.sum("cnt").alias("n"), F.percentile_approx("x", list(SHARES), 10_000).alias("p"))
+        per = _ranked(x)
     at = lambda k: F.when(F.col("n") >= 3, F.col("p")[k])
     low, high = at(1), at(3)
     return per.select(
@@ -180,9 +204,3 @@ def sample_values(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(ordinal, column, rank, value): the smallest distinct values, the same on every run."""
     order = Window.partitionBy(*KEY).orderBy("value")
     return vc.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.sample_values).select(*KEY, "rank", "value")
-
-
-def frequent_values(rows: DataFrame, s: Settings = DEFAULT, tracked: int = 10_000) -> DataFrame:
-    """top_values of uncounted values, by a sketch that tracks a bounded number of them: (ordinal, column, x)."""
-    per = rows.where(F.col("value").isNotNull()).groupBy(*KEY).agg(F.expr(f"approx_top_k(value, {s.top_values}, {tracked})").alias("x"))
-    return per.select(*KEY, F.transform("x", lambda t: F.struct(t["item"].alias("value"), t["count"].alias("count"))).alias("x"))

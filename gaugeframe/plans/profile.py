@@ -43,46 +43,36 @@ EMPTY = {
 def column_profiles(df: DataFrame, table_name: str, s: Settings = DEFAULT, standardise: bool = True) -> DataFrame:
     """A row for each column of df with the fields above, over all rows.
 
-    Up to exact_distinct_rows rows, values are counted once; the counts are kept, and types, distinct counts, ranges,
-    percentiles, lengths and top values come from them by jobs that run side by side. Above, values are not dealt out at
-    all: every statistic is an aggregate by column over the rows, with sketches for distinct counts, percentiles and top
-    values, so that what is shuffled doesn't grow with the table; is_distinct_count_exact says which it was. Each job's
-    result has a few rows for each column of the table, whatever the table's size, so the results are put together on the
-    driver and returned as a local frame.
+    Values are counted once; the counts are kept, and types, distinct counts, ranges, percentiles, lengths and top values
+    come from them by jobs that run side by side. Each job's result has a few rows for each column of the table, whatever
+    the table's size, so the results are put together on the driver and returned as a local frame. All figures are exact
+    at every size; is_distinct_count_exact only says whether the table has at most exact_distinct_rows rows.
     """
     df = flattened(df)
     spark, declared = df.sparkSession, [f.dataType.simpleString() for f in df.schema]
-    exact = df.count() <= s.exact_distinct_rows
-    raw = long_form(df).groupBy(*KEY, "value").agg(F.count("*").alias("cnt")).persist() if exact else long_form(df).withColumn("cnt", F.lit(1).cast("long"))
+    raw = long_form(df).groupBy(*KEY, "value").agg(F.count("*").alias("cnt")).persist()
     blank = F.trim("value") == ""
     new = standardised(raw, s).withColumnRenamed("new", "to") if standardise else raw.withColumn("to", F.when(~blank, F.col("value")))
-    vc = new.select(*KEY, F.col("to").alias("value"), "cnt")
-    if exact:
-        vc = vc.groupBy(*KEY, "value").agg(F.sum("cnt").alias("cnt")).persist()
+    vc = new.groupBy(*KEY, F.col("to").alias("value")).agg(F.sum("cnt").alias("cnt")).persist()
     local = lambda x: spark.createDataFrame(x.collect(), x.schema)
-    types = local(statistics.inferred(vc, s, exact))
-    basic = statistics.basics(vc, s, exact).join(types, list(KEY), "left").withColumn("is_key_candidate", statistics.key_candidate(s)).collect()
+    types = local(statistics.inferred(vc, s))
+    basic = statistics.basics(vc, s).join(types, list(KEY), "left").withColumn("is_key_candidate", statistics.key_candidate(s)).collect()
+    held = max([r["row_count"] for r in basic], default=0) <= s.exact_distinct_rows
 
     def quartiles() -> list:
-        q = local(statistics.percentiles(vc, types, exact))
+        q = local(statistics.percentiles(vc, types, held))
         return q.join(statistics.outliers(vc, q), list(KEY), "left").collect()
 
     packed = lambda x, *c: x.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("rank", *c))).alias("x"))
     listed = lambda c: F.transform(c, lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"))).alias("top_values")
 
-    def values() -> list:
-        if exact:
-            return packed(statistics.top_values(vc, s), "value", "count").select(*KEY, listed("x")).collect()
-        some = F.slice(F.sort_array(F.transform("x", lambda t: t["value"])), 1, s.sample_values).alias("sample_values")
-        return statistics.frequent_values(vc, s).select(*KEY, listed("x"), some).collect()
-
     jobs = [
         quartiles,
         lambda: statistics.ranges(vc, types).collect(),
         lambda: statistics.text_moments(vc, types).collect(),
         lambda: statistics.lengths(vc, types).collect(),
-        values,
-        *([lambda: packed(statistics.sample_values(vc, s), "value").select(*KEY, F.transform("x", lambda t: t["value"]).alias("sample_values")).collect()] if exact else []),
+        lambda: packed(statistics.top_values(vc, s), "value", "count").select(*KEY, listed("x")).collect(),
+        lambda: packed(statistics.sample_values(vc, s), "value").select(*KEY, F.transform("x", lambda t: t["value"]).alias("sample_values")).collect(),
         *([lambda: report(raw, s).select(*KEY, "nulls_normalized").collect()] if standardise else []),
     ]
     found: dict[int, dict] = {i: dict(EMPTY) for i in range(len(df.columns))}
@@ -90,9 +80,8 @@ def column_profiles(df: DataFrame, table_name: str, s: Settings = DEFAULT, stand
         for rows in [basic, *pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)]:
             for r in rows:
                 found[r["ordinal"]].update(r.asDict(recursive=True))
-    if exact:
-        vc.unpersist()
-        raw.unpersist()
+    vc.unpersist()
+    raw.unpersist()
     for i, (n, o, d) in enumerate(zip(standard_names(df.columns), df.columns, declared, strict=True)):
         found[i] |= {"table_name": table_name, "ordinal": i, "name": n, "original_name": o, "declared_type": d}
     out = quality.flagged(spark.createDataFrame([tuple(x[c] for c in STRUCT.fieldNames()) for x in found.values()], STRUCT))

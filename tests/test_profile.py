@@ -122,3 +122,12 @@ def test_large_tables_take_sketches(spark):
             assert small[c][f] == large[c][f], (c, f)
         assert not large[c]["is_distinct_count_exact"] and abs(large[c]["distinct_count"] - small[c]["distinct_count"]) <= 0.03 * small[c]["distinct_count"]
     assert large["few"]["top_values"][0]["count"] == 286 and abs(large["id"]["median"] - 999.5) <= 2 and large["s"]["sample_values"] == ["v"]
+
+
+def test_large_tables_have_the_figures_of_small_ones(spark):
+    df = spark.range(30_000).select("id", (F.col("id") * 37 % 101 / 4).alias("few"), F.concat(F.lit("k"), F.col("id") % 20_000).alias("s"), F.when(F.col("id") % 3 == 0, F.col("id") * F.col("id")).alias("gaps"))
+    small = {r["name"]: r.asDict(recursive=True) for r in profile.column_profiles(df, "t", Settings()).collect()}
+    large = {r["name"]: r.asDict(recursive=True) for r in profile.column_profiles(df, "t", Settings(exact_distinct_rows=100)).collect()}
+    for x in [*small.values(), *large.values()]:
+        del x["is_distinct_count_exact"]
+    assert large == small and large["id"]["distinct_count"] == 30_000 and large["id"]["is_key_candidate"] and large["s"]["sample_values"] == ["k0", "k1", "k10", "k100", "k1000"]
