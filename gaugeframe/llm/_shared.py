@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +21,15 @@ def batched(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where a local session leaves it unset, one below its warehouse.
+
+    On a cluster no folder of our own would be seen by all, so a session there has to name one.
+    """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gaugeframe-checkpoint-")
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    found = found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
@@ -49,3 +52,39 @@ def fold(doc_id: Column) -> Column:
 
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, found by position: other names that repeat them in another case don't clash."""
+    at = [df.columns.index(n) for n in names]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and whole rows as a struct `row` with fields by position: no column name can clash."""
+    at = [df.columns.index(n) for n in names]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(F.struct(*plain.columns).alias("row"), *[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def unpacked(rows: DataFrame, df: DataFrame, **changed: Column) -> DataFrame:
+    """Rows that `packed` made, as columns named like df's; the changed ones have new values, cast to their type."""
+    fields = [changed[n].cast(f.dataType) if n in changed else F.col("row")[f"c{i}"] for i, (n, f) in enumerate(zip(df.columns, df.schema, strict=True))]
+    return rows.select(*[c.alias(f"c{i}") for i, c in enumerate(fields)]).toDF(*df.columns)
+
+
+#: Keys with more than one in so many of all rows are broadcast when rows meet them; so there are fewer than that.
+HEAVY_KEYS = 20_000
+
+
+def met(rows: DataFrame, found: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with `found`, which has one row for each key and the number of its rows as `times`; both are written tables.
+
+    Of `total` rows, fewer than HEAVY_KEYS keys can have more than one in HEAVY_KEYS each: these few are broadcast, so that
+    no task gets all rows of a frequent key; the other keys meet by a shuffle.
+    """
+    heavy = F.col("times") * HEAVY_KEYS > total
+    few = F.broadcast(found.where(heavy))
+    near = rows.join(few, on)
+    return near.unionByName(rows.join(few.select(*on), on, "left_anti").join(found.where(~heavy), on))
