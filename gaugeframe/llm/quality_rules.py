@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import cut
+from gaugeframe.llm._shared import cut, only, packed, unpacked
 from gaugeframe.llm._text import LINE_BLANK, bind, has_word, lines, words
 
 SYMBOLS = "#*$%&|<>"
@@ -22,27 +22,35 @@ BROADCAST_ROWS = 200_000
 
 
 def repeated_words(found: Column) -> Column:
-    """Words covered by three-word windows that occur twice or more (windows compared by 64-bit hash).
+    """Words covered by three-word windows that occur twice or more.
 
-    Window hashes give up their lowest bits to the window's position, so that one primitive sort puts equal windows
-    side by side, in order of position.
+    Window hashes give up their lowest bits to the window's position, so that one primitive sort puts windows that may be
+    equal side by side. These few are then sorted by their words, which decide.
     """
     last = lambda w: F.size(w) - 2
     hashes = lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, last(w))
 
     def covered(h: Column) -> Column:
         bits = F.ceil(F.log2(F.size(h) + F.lit(2))).cast("int")
-        return bind(bits, lambda b: bind(packed(h, b), lambda s: bind(repeats(s, b), spans)))
+        return bind(bits, lambda b: bind(packed(h, b), lambda s: bind(bind(bind(alike(s, b), written), repeats), spans)))
 
     def packed(h: Column, b: Column) -> Column:
         high = lambda x: F.call_function("shiftleft", F.call_function("shiftright", x, b), b)
         return F.sort_array(F.transform(h, lambda x, i: high(x).bitwiseOR(i.cast("long"))))
 
-    def repeats(s: Column, b: Column) -> Column:
+    def alike(s: Column, b: Column) -> Column:
         high = lambda x: F.call_function("shiftright", x, b)
         same = lambda x, j: F.coalesce(high(x) == high(F.get(s, j)), F.lit(False))
         position = F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1
-        return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x.bitwiseAND(position)))
+        return F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x.bitwiseAND(position))
+
+    def written(at: Column) -> Column:
+        window = lambda p: F.concat_ws(" ", F.slice(found, p.cast("int") + 1, 3))
+        return F.sort_array(F.transform(at, lambda p: F.struct(window(p).alias("w"), p.alias("p"))))
+
+    def repeats(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(x["w"] == F.get(s, j)["w"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["p"]))
 
     def spans(at: Column) -> Column:
         three = F.lit(3).cast("long")
@@ -59,7 +67,7 @@ def normalised(line: Column) -> Column:
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per document: a row number, its host, the base metrics, and a (hash, words) pair for each line with a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.select("doc_id", F.col(host).alias("host"), text.alias("text"))
+    split = only(docs, "doc_id", host, "text").toDF("doc_id", "host", "text").select("doc_id", "host", text.alias("text"))
     split = split.select("doc_id", "host", words(F.col("text")).alias("w"), F.filter(lines(F.col("text")), has_word).alias("l"))
     glued = F.array_join("w", "")
     split = split.select("*", F.char_length(glued).alias("word_chars"), F.char_length(F.translate(glued, SYMBOLS, "")).alias("plain"))
@@ -77,9 +85,13 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame, docs_limit: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, h) of the lines that more documents of the host have than docs_limit and share of its documents."""
-    of_host = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    one = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    """(host, h) of the lines that more distinct documents of the host have than docs_limit and share of its documents.
+
+    Rows that repeat a doc_id are one document; rows without a doc_id aren't counted.
+    """
+    named = rows.where("doc_id is not null")
+    of_host = named.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    one = named.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"), "doc_id").distinct()
     often = one.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > docs_limit)
     return often.join(of_host.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("docs") * share).select("host", "h")
 
@@ -92,8 +104,9 @@ def _small(df: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     """Per document: the base metrics, base_failed, n_frequent_lines, n_kept_words and the verdict `kept`.
 
-    Null and empty texts have no word and fail the base rule. Rows, not ids, are the documents counted; a null host is a
-    host of its own. An empty table gives no rows.
+    Null and empty texts have no word and fail the base rule; texts of any length are measured whole. Every row is judged,
+    those that repeat a doc_id each by its own text, but they count as one document for the frequency of a line. A null
+    host is a host of its own. Other columns play no part. An empty table gives no rows.
     """
     rows = cut(measured(docs, host))
     often = _small(cut(frequent_lines(rows)))
@@ -112,17 +125,17 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def without_lines(docs: DataFrame, often: DataFrame, host: str = "source") -> DataFrame:
-    """docs with the frequent lines (host, h) taken out of `text`; other columns and lines stay as they are.
+    """docs with the frequent lines (host, h) taken out of `text`; other columns, whatever their names, and lines stay.
 
-    Each document meets only the frequent lines that it has. Rows that repeat a doc_id and text are treated alike.
+    Each document meets only the frequent lines that it has. Rows that repeat a doc_id, host and text are treated alike.
     """
-    text = F.col("text").cast("string")
-    hashes = F.array_distinct(F.transform(F.filter(lines(text), has_word), lambda x: F.xxhash64(normalised(x))))
-    each = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__th"), F.col(host).alias("__of"), F.explode(hashes).alias("__line"))
-    many = _small(often.select(F.col("host").alias("__host"), F.col("h").alias("__h")))
-    hits = each.join(many, (F.col("__line") == F.col("__h")) & F.col("__of").eqNullSafe(F.col("__host")), "left_semi")
-    hits = hits.groupBy("__id", "__th", "__of").agg(F.collect_set("__line").alias("__hits"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__th")) & docs[host].eqNullSafe(F.col("__of"))
-    kept = F.array_join(F.filter(lines(text), lambda x: ~F.array_contains("__hits", F.xxhash64(normalised(x))) | ~has_word(x)), "\n")
-    joined = docs.join(hits, same, "left")
-    return joined.select(*[F.when(F.col("__hits").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    rows = packed(docs, "doc_id", host, "text").toDF("row", "doc_id", "of", "text").withColumn("text", F.col("text").cast("string"))
+    hashes = F.array_distinct(F.transform(F.filter(lines(F.col("text")), has_word), lambda x: F.xxhash64(normalised(x))))
+    each = rows.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("of").alias("own"), F.explode(hashes).alias("line"))
+    many = _small(often.select("host", "h"))
+    hits = each.join(many, (F.col("line") == F.col("h")) & F.col("own").eqNullSafe(F.col("host")), "left_semi")
+    hits = hits.groupBy("id", "th", "own").agg(F.collect_set("line").alias("hits"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")) & F.col("of").eqNullSafe(F.col("own"))
+    kept = F.array_join(F.filter(lines(F.col("text")), lambda x: ~F.array_contains("hits", F.xxhash64(normalised(x))) | ~has_word(x)), "\n")
+    joined = rows.join(hits, same, "left")
+    return unpacked(joined, docs, text=F.when(F.col("hits").isNull(), F.col("text")).otherwise(kept))

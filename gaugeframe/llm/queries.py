@@ -73,7 +73,7 @@ ORACLE_SQL: dict[str, str] = {
         cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
         ln AS (SELECT doc_id, host, lower(regexp_replace(trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[ \\t\\x0B\\f\\r]+', ' ', 'g')) AS l,
                       len(list_filter(string_split_regex(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT doc_id, host, unnest(ls) AS l FROM w)),
-        hd AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+        hd AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d GROUP BY host),
         fq AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT doc_id) AS n FROM ln GROUP BY host, l) JOIN hd USING (host) WHERE n > 20 AND n > docs * 0.001),
         lost AS (SELECT doc_id, count(*) AS k, sum(n) AS n FROM ln JOIN fq USING (host, l) GROUP BY doc_id),
         m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
