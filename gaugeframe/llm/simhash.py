@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import near_copies
-from gaugeframe.llm._shared import batched, cut, parts
+from gaugeframe.llm._shared import batched, cut, only, packed, parts, unpacked
 from gaugeframe.llm.components import components
 
 WORDS, SEED, BUDGET = 3, 42, 3
@@ -49,15 +49,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long. No shuffle."""
+    """(doc_id, th, fp): the text's hash and the fingerprint of each whole text as a signed long. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "th", "fp"])
 
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint"
-    return docs.select("doc_id", F.col(text).cast("string").alias("text")).transform(batched, run, out)
+    of = F.col(text).cast("string")
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint, fp bigint"
+    return only(docs, "doc_id", text).select("doc_id", F.xxhash64(of).alias("th"), of.alias("text")).transform(batched, run, out)
 
 
 class _Spread:
@@ -192,19 +193,20 @@ def links(fps: DataFrame, n: int) -> DataFrame:
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every document by op6's contract, links being fingerprints with at most three differing bits.
+    """(doc_id, th, fp, root, component_id) of every document by op6's contract: links are fingerprints with at most three differing bits.
 
-    component_id is the smallest doc_id of the component. Texts that are null, empty or without a word have fingerprint
-    zero and are linked like any other. Repeated rows stay repeated; a null doc_id never names a component unless the
-    component has no other.
+    component_id is the smallest doc_id of the component, root its name even where all doc_ids are null. Texts that are
+    null, empty or without a word have fingerprint zero and are linked like any other; a text of any length counts whole.
+    Repeated rows stay repeated; a null doc_id never names a component unless the component has no other. An empty table
+    gives no rows.
     """
     marked = cut(fingerprints(docs))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     joined = components(links(fps.select("fp"), fps.count()))
     rooted = fps.join(joined, fps.fp == joined.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -216,11 +218,21 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = near_copies.WORDS, similarity: float = near_copies.SIMILARITY) -> DataFrame:
-    """(doc_id, node, component_id) for corpora: links are word shingles of at least that Jaccard similarity, not op6's."""
+    """(doc_id, th, node, root, component_id) for corpora: links are word shingles of at least that Jaccard similarity, not op6's."""
     return near_copies.groups(docs, words=words, similarity=similarity)
 
 
 def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = linked) -> DataFrame:
-    """The documents that name their component: one of each group of near copies, the one with the smallest doc_id."""
-    stay = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    """One row of each group of near copies: that of the smallest doc_id (null after all others), then the smallest text hash.
+
+    Of rows that repeat this doc_id and text any one stays. Texts that are null, empty or without a word are one group.
+    All columns pass unchanged, whatever their names; an empty table gives no rows.
+    """
+    per = cut(grouped(docs).groupBy("root", "doc_id", "th").agg(F.count("*").alias("times")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "times")
+    first = per.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("id"), F.col("f.th").alias("h"), "f.times")
+    rows = packed(docs, "doc_id", "text")
+    stay = rows.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("h"))).select("row", "id", "h", "times")
+    alone = stay.where("times = 1").select("row")
+    several = stay.where("times > 1").groupBy("id", "h").agg(F.first("row").alias("row")).select("row")
+    return unpacked(alone.unionByName(several), docs)
