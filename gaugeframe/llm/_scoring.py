@@ -9,10 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import batched, fold
+from gaugeframe.llm._shared import batched, fold, only, packed
 
-#: Texts over this many bytes aren't trained on (they are scored whole like any other).
-LONGEST_TRAINED = 100_000
 #: Rows of an Arrow batch that are scored at once.
 SLICE = 64
 
@@ -25,36 +23,38 @@ def drawn(ids: DataFrame, rows: int) -> DataFrame:
 
 def learnable(labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, y) of the rows that labels may be learnt from; a doc_id labelled both ways isn't learnt from."""
-    rows = labels.where((fold(F.col("doc_id")) != 2) & F.col(label).isin(0, 1))
+    rows = only(labels, "doc_id", label).where((fold(F.col("doc_id")) != 2) & F.col(label).isin(0, 1))
     return rows.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most")).where("y = most").select("doc_id", "y")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(ids' columns, text binary) for the drawn ids."""
+    """(ids' columns, text binary) for the drawn ids, each once: of rows that repeat an id, the text that sorts first."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= LONGEST_TRAINED)
-    return rows.join(ids, "doc_id")
+    rows = only(docs, "doc_id", "text").select("doc_id", text.alias("text"))
+    return rows.join(ids, "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
 
 
-def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], name: str = "score") -> DataFrame:
-    """docs with one more column: the score of each whole text (null: of the empty text). No shuffle."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
-    at_text = names.index("text")
+def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], *names: str) -> DataFrame:
+    """Packed rows of docs with the named columns and `score` of each whole text (null: of the empty text). No shuffle."""
+    rows = packed(docs, *names, "text").withColumn("text", F.col("text").cast("string"))
+    if names:
+        rows = rows.drop("row")
+    kept = [f for f in rows.schema if f.name != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                rows = batch.slice(at, SLICE)
-                texts = [(t or "").encode() for t in rows.column(at_text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score(texts), pa.float64())], [*names, name])
+                part = batch.slice(at, SLICE)
+                texts = [(t or "").encode() for t in part.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score(texts), pa.float64())], [*[f.name for f in kept], "score"])
 
-    return docs.transform(batched, run, schema)
+    return rows.select(*[f.name for f in kept], "text").transform(batched, run, schema)
 
 
 def digest(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    out = scored(docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", "text"), score)
+    out = scored(docs, score, "doc_id")
     held: Column = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

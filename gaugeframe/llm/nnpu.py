@@ -2,7 +2,9 @@
 
 Confirmed toxic documents are the positives; all other text counts as unlabelled, whatever it is. The risk of calling
 unlabelled text clean is corrected by the class prior and kept from going negative (it counts as zero where it would). The
-classifier is linear over the hashed set of words of the whole text.
+classifier is linear over the hashed set of words of the whole text. Its weights and its base are what minimises that
+risk. A word's weight is penalised the less, the more clearly its share of the positives exceeds its share of the
+unlabelled, as otherwise the many words of few documents fit the positives by heart and the risk soon counts as zero.
 """
 
 from __future__ import annotations
@@ -15,18 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import batched
-
 from gaugeframe.llm import _scoring
 from gaugeframe.llm._scoring import Adam, sigmoid
+from gaugeframe.llm._shared import batched, only, unpacked
 
 BITS = 18
 #: Documents drawn at most: confirmed positives, unlabelled.
 POSITIVES, UNLABELLED = 4000, 8000
-#: A word is a feature if this many distinct positives have it, and its share of them is so many standard errors above
-#: its share of the unlabelled; other words weigh nothing.
-MIN_POSITIVES, MIN_Z = 3, 6.0
-PASSES, RATE, DECAY = 300, 0.05, 5e-4
+#: A word is a feature if this many distinct positives have it; the excess, in standard errors, at which a quarter of the
+#: penalty is left out of account.
+MIN_POSITIVES, CLEAR = 3, 6.0
+PASSES, RATE, DECAY = 150, 0.1, 1e-3
 THRESHOLD = 0.3
 
 #: ASCII letters in lower case; digits and bytes of other characters as they are; the rest separates words.
@@ -55,17 +56,35 @@ class Linear:
         return sigmoid(np.array([self._dense[features(t)].sum() + self.base for t in texts], np.float64))
 
 
+def risk(toxic: np.ndarray, other: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of margins of positives and unlabelled under the logistic loss, and its slopes by them."""
+    fp, fu = sigmoid(toxic), sigmoid(other)
+    miss = -prior * np.log(np.maximum(fp, 1e-12)).mean()
+    # loss of calling clean: over all unlabelled, less the part that the positives among them have
+    clean = -np.log(np.maximum(1 - fu, 1e-12)).mean() + prior * np.log(np.maximum(1 - fp, 1e-12)).mean()
+    by_miss = prior * (fp - 1) / len(fp)
+    if clean < 0:  # below what any classifier can have: overfitting, which counts as none
+        return miss, by_miss, np.zeros(len(fu))
+    return miss + clean, by_miss - prior * fp / len(fp), fu / len(fu)
+
+
+def scales(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """How freely the weight of each word can move, from 0 to 1."""
+    seen = np.bincount(np.concatenate(positive), minlength=1 << BITS)
+    usual = (np.bincount(np.concatenate(unlabelled), minlength=1 << BITS) + 1) / (len(unlabelled) + 2)
+    z = np.maximum((seen / len(positive) - usual) / np.sqrt(usual * (1 - usual) / len(positive)), 0)
+    return np.where(seen >= min(MIN_POSITIVES, len(positive)), (z / (z + CLEAR)) ** 2, 0)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Linear:
-    """Minimises the non-negative risk; without positives the score is the prior everywhere."""
+    """Minimises the non-negative risk; without positives or unlabelled text the score is the prior everywhere."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
-    if not positive or not unlabelled:
-        return Linear(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))))
     alone = list({x.tobytes(): x for x in positive}.values())  # a text that was copied counts once
-    seen = np.bincount(np.concatenate(alone), minlength=1 << BITS)
-    usual = (np.bincount(np.concatenate(unlabelled), minlength=1 << BITS) + 1) / (len(unlabelled) + 2)
-    z = (seen / len(alone) - usual) / np.sqrt(usual * (1 - usual) / len(alone))
-    used = np.flatnonzero((seen >= min(MIN_POSITIVES, len(alone))) & (z >= MIN_Z))
-    column = np.full(1 << BITS, -1)
+    if not alone or not unlabelled:
+        return Linear(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))))
+    free = scales(alone, unlabelled)
+    used = np.flatnonzero(free)
+    column, scale = np.full(1 << BITS, -1), free[used]
     column[used] = np.arange(len(used))
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,26 +92,17 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         col = column[np.concatenate(rows)]
         return doc[col >= 0], col[col >= 0]
 
-    (pd, pc), (ud, uc) = sparse(positive), sparse(unlabelled)
+    (pd, pc), (ud, uc) = sparse(alone), sparse(unlabelled)
     w, b = np.zeros(len(used)), np.array([np.log(prior / (1 - prior))])
     adam = Adam([w, b], RATE)
-    of = lambda doc, col, n: np.bincount(doc, w[col], n) + b[0]
-    for _ in range(PASSES):
-        fp, fu = sigmoid(of(pd, pc, len(positive))), sigmoid(of(ud, uc, len(unlabelled)))
-        # logistic loss: l(f, +1) = -log s(f), l(f, -1) = -log(1 - s(f)); their slopes are s - 1 and s
-        clean = -np.log1p(-np.minimum(fu, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(fp, 1 - 1e-12)).mean()
-        g_toxic, gp, gu = prior * (fp - 1) / len(fp), -prior * fp / len(fp), fu / len(fu)
-        dp, du = (g_toxic, 0 * gu) if clean < 0 else (g_toxic + gp, gu)  # a negative clean risk counts as none
-        gw = np.bincount(pc, dp[pd], len(used)) + np.bincount(uc, du[ud], len(used)) + DECAY * prior * w
-        adam.step([gw, np.array([dp.sum() + du.sum()])])
-    # the mean score over unlabelled text is the share of toxic documents in it: this fixes the base, which few positives leave loose
-    margin = np.bincount(ud, w[uc], len(unlabelled))
-    low, high = -30.0, 30.0
-    for _ in range(60):
-        b[0] = (low + high) / 2
-        low, high = (low, b[0]) if sigmoid(margin + b[0]).mean() > prior else (b[0], high)
+    for k in range(PASSES):
+        adam.rate = RATE * (1 - k / PASSES)
+        value = w * scale
+        _, dp, du = risk(np.bincount(pd, value[pc], len(alone)) + b[0], np.bincount(ud, value[uc], len(unlabelled)) + b[0], prior)
+        slope = np.bincount(pc, dp[pd], len(used)) + np.bincount(uc, du[ud], len(used))
+        adam.step([slope * scale + DECAY * prior * w, np.array([dp.sum() + du.sum()])])
     weights = np.zeros(1 << BITS)
-    weights[used] = w
+    weights[used] = w * scale
     return Linear(weights, float(b[0]))
 
 
@@ -101,12 +111,15 @@ def _hashed(texts: DataFrame) -> list[np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "f"])
+            found = [features(t).astype(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "f"])
 
-    out = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, f array<bigint>"
+    out = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, f array<int>"
     got = texts.select("doc_id", "text").transform(batched, run, out).toArrow().sort_by("doc_id")
-    return [np.asarray(x, np.int64) for x in got["f"].to_pylist()]
+    found = got["f"].combine_chunks()
+    found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    values, ends = found.flatten().to_numpy().astype(np.int64), np.cumsum(found.value_lengths().to_numpy())
+    return np.split(values, ends[:-1]) if got.num_rows else []
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
@@ -114,16 +127,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     marked = _scoring.learnable(labels, "toxic")
     n, ones = marked.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     known = _scoring.drawn(marked.where("y = 1").select("doc_id"), positives)
-    other = _scoring.drawn(docs.select("doc_id"), unlabelled)
+    other = _scoring.drawn(only(docs, "doc_id"), unlabelled)
     return fit(_hashed(_scoring.texts_of(docs, known)), _hashed(_scoring.texts_of(docs, other)), (ones + 0.5) / (n + 1) if n else 0.01)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: held_out, score and predicted. Null and empty texts get the score of the empty text."""
+    """Per row of docs: doc_id, held_out, score and predicted.
+
+    Null and empty texts get the score of the empty text; texts of any length are scored whole. Rows that repeat a doc_id
+    are scored each by its own text, and one of their texts is learnt from. A null doc_id isn't held out or learnt from; a
+    doc_id labelled both ways isn't learnt from. Without labels all scores are the same. An empty table gives no rows.
+    """
     return _scoring.digest(docs, train(docs, labels).score, THRESHOLD)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs whose score is below the threshold, with their columns."""
-    out = _scoring.scored(docs, train(docs, labels).score, "__toxicity")
-    return out.where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+    """docs whose score is below the threshold, with all their columns, whatever these are called.
+
+    Nulls, long texts and repeated rows as in digest: rows with the same text stay or go together.
+    """
+    out = _scoring.scored(docs, train(docs, labels).score)
+    return unpacked(out.where(F.col("score") < THRESHOLD), docs)
