@@ -2,30 +2,31 @@
 
 A text is cut into blocks of 128 bytes, two neighbouring blocks make a chunk, chunks overlap by a block and cover the
 whole text. Learned filters read runs of four bytes; each filter's largest response in a chunk goes through a ReLU.
-One more input of a chunk is how much of it equals itself some bytes back (the best of a range of lags), which byte
-filters alone can't see. Over all chunks the maximum and the mean of each response are combined by a logistic output.
+Over all chunks the largest response of each filter is kept, and these are combined by a logistic output.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import _scoring
 from gaugeframe.llm._scoring import Adam, sigmoid
 
-BLOCK, KERNEL, FILTERS, LAGS = 128, 4, 16, range(3, 49)
+BLOCK, KERNEL, FILTERS = 128, 4, 16
 #: Training: documents drawn at most, passes, documents of a step, learning rate, weight decay, seed.
 TRAIN_DOCS, PASSES, STEP_DOCS, RATE, DECAY, SEED = 3000, 12, 32, 0.02, 1e-4, 7
 THRESHOLD = 0.7
+#: A document that trains gives so many stretches of so many bytes at most, evenly spread from its first byte to its last.
+STRETCHES, STRETCH = 24, 4096
 #: Blocks whose responses are computed at once, so that they stay in the processor's cache.
 AT_ONCE = 64
 
 
 def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array, each followed by zeros to whole blocks (as many zeros as the longest lag); first blocks."""
-    sizes = np.array([-(-(len(t) + LAGS[-1]) // BLOCK) for t in texts], np.int64)
+    """All texts in one array, each followed by zeros to whole blocks, a kernel's worth at least; first blocks."""
+    sizes = np.array([-(-(len(t) + KERNEL) // BLOCK) for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.zeros(int(first[-1]) * BLOCK + BLOCK, np.uint8)
     for t, at in zip(texts, first[:-1].tolist(), strict=True):
@@ -33,24 +34,11 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, first
 
 
-def repetition(flat: np.ndarray, n: int) -> np.ndarray:
-    """For each of n blocks the largest share of bytes that equal those a lag back, over all lags."""
-    best = np.zeros(n, np.uint8)
-    x = flat[: n * BLOCK]
-    text = x != 0
-    for lag in LAGS:
-        same = np.zeros(n * BLOCK, bool)
-        np.equal(x[lag:], x[:-lag], out=same[lag:])
-        same &= text
-        np.maximum(best, same.reshape(n, BLOCK).sum(axis=1, dtype=np.uint8), out=best)
-    return best.astype(np.float32) / BLOCK
-
-
 class ByteCnn:
     def __init__(self, rng: np.random.Generator):
         self.table = (rng.standard_normal((KERNEL, 256, FILTERS)) * 0.1).astype(np.float32)
         self.bias = np.zeros(FILTERS, np.float32)
-        self.out = (rng.standard_normal(2 * FILTERS + 2) * 0.1).astype(np.float32)
+        self.out = (rng.standard_normal(FILTERS) * 0.1).astype(np.float32)
         self.base = np.zeros(1, np.float32)
 
     def responses(self, flat: np.ndarray, n: int, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -77,16 +65,14 @@ class ByteCnn:
         n = int(first[-1])
         value, place = self.responses(flat, n, train)
         value += self.bias
-        both = np.concatenate([np.maximum(value, 0), repetition(flat, n)[:, None]], axis=1)
+        both = np.maximum(value, 0)
         last = np.zeros(n, bool)
         last[first[1:] - 1] = True
         pair = np.where(last, np.arange(n), np.minimum(np.arange(n) + 1, n - 1))  # a chunk is a block and the next
         chunk = np.maximum(both, both[pair])
         high = np.maximum.reduceat(chunk, first[:-1], axis=0)
-        mean = np.add.reduceat(chunk.astype(np.float64), first[:-1], axis=0) / np.diff(first)[:, None]
-        features = np.concatenate([high, mean], axis=1)
-        logit = features @ self.out.astype(np.float64) + float(self.base[0])
-        return {"logit": logit, "features": features, "both": both, "chunk": chunk, "high": high, "pair": pair, "place": place, "first": first, "flat": flat}
+        logit = high.astype(np.float64) @ self.out.astype(np.float64) + float(self.base[0])
+        return {"logit": logit, "both": both, "chunk": chunk, "high": high, "pair": pair, "place": place, "first": first, "flat": flat}
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         return sigmoid(self.forward(texts)["logit"])
@@ -94,16 +80,15 @@ class ByteCnn:
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         x = self.forward(texts, True)
         d = (sigmoid(x["logit"]) - y) * weight / weight.sum()
-        c = FILTERS + 1
-        g_out = x["features"].T @ d + DECAY * self.out
+        g_out = x["high"].astype(np.float64).T @ d + DECAY * self.out
         doc = np.repeat(np.arange(len(texts)), np.diff(x["first"]))
         top = x["chunk"] == x["high"][doc]
         share = np.add.reduceat(top.astype(np.float64), x["first"][:-1], axis=0)[doc]
-        g_chunk = d[doc][:, None] * (top * self.out[:c] / share + self.out[c:] / np.diff(x["first"])[doc][:, None])
+        g_chunk = d[doc][:, None] * top * self.out / share
         own = x["both"] >= x["both"][x["pair"]]
         g_both = np.where(own, g_chunk, 0)
         np.add.at(g_both, x["pair"], np.where(own, 0, g_chunk))
-        g = (g_both * (x["both"] > 0))[:, :FILTERS]
+        g = g_both * (x["both"] > 0)
         live = np.nonzero(g)
         at = x["place"][live]
         cell = np.stack([(j * 256 + x["flat"][at + j].astype(np.int64)) * FILTERS + live[1] for j in range(KERNEL)])
@@ -131,15 +116,31 @@ def fit(texts: list[bytes], y: np.ndarray) -> ByteCnn:
     return model
 
 
+def stretches(text: Column) -> Column:
+    """A binary text, or the stretches that stand for a longer one."""
+    room = F.octet_length(text) - STRETCH
+    some = [F.substr(text, F.floor(room * k / (STRETCHES - 1)).cast("int") + 1, F.lit(STRETCH)) for k in range(STRETCHES)]
+    return F.when(F.octet_length(text) > STRETCHES * STRETCH, F.concat(*some)).otherwise(text)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> ByteCnn:
-    """Fits to at most `rows` labelled documents outside the held-out fold, drawn by hash of their doc_id."""
+    """Fits to at most `rows` labelled documents outside the held-out fold, drawn by hash of their doc_id.
+
+    The driver holds their texts, of which each has a bounded size (`stretches`).
+    """
     marked = _scoring.learnable(labels, "quality")
     ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = _scoring.texts_of(docs, F.broadcast(ids)).select("doc_id", "y", "text").toArrow()
+    got = _scoring.texts_of(docs, F.broadcast(ids)).select("doc_id", "y", stretches(F.col("text")).alias("text")).toArrow()
     got = got.sort_by("doc_id")
     return fit(got["text"].to_pylist(), got["y"].to_numpy().astype(np.float64))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: held_out, score and predicted. Null and empty texts get the score of the empty text."""
+    """Per row of docs: doc_id, held_out, score and predicted.
+
+    Null and empty texts get the score of the empty text; texts of any length are scored whole. Rows that repeat a doc_id
+    are scored each by its own text, and one of their texts is learnt from. A null doc_id isn't held out or learnt from; a
+    doc_id labelled both ways isn't learnt from. With labels of one kind or none all scores are the same. An empty table
+    gives no rows.
+    """
     return _scoring.digest(docs, train(docs, labels).score, THRESHOLD)
