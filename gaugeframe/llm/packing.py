@@ -1,17 +1,19 @@
 """Lexical retrieval packing of documents into sequences of 1024 tokens.
 
-Documents are taken in shards. Each shard has an inverted index of its tokens with BM25 weights. A seed document opens a
-window; the index returns the unused documents that share its rarest tokens, and these fill the window in order of their
-score. What doesn't fit is cut and opens the next window, so only the end of a partition leaves an open one. That rest is
-cut into sequences whose lengths are powers of two: nothing is padded.
-
-A shard is a run of documents of one partition, so packing needs no shuffle and a lost task is simply run again.
+Whole texts are encoded once. The document frequency of every token is counted over the whole corpus, and with it each
+document's rarest tokens, by which documents are sorted into partitions: those that share rare tokens, and all copies of a
+text, become neighbours. Runs of that order are the shards of an inverted index with BM25 weights. A seed document opens a
+window; the index scores all documents of its shard by all of the seed's tokens, and the unused ones fill the window in order
+of their score. What doesn't fit is cut and opens the next window, so only the end of a partition leaves an open one. That rest
+is cut into sequences whose lengths are powers of two: nothing is padded, at the price of up to ten short sequences at the
+end of each partition.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,55 +21,60 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import batched
-
 from gaugeframe.llm import bpe
+from gaugeframe.llm._shared import batched, cut, only, parts
 
 WINDOW, END = 1024, 0
-#: Tokens of a shard (documents are taken until it has them), BM25's parameters, tokens a seed is looked up by, and the
-#: share of a shard's documents above which a token tells nothing.
-SHARD_TOKENS, K1, B, QUERY_TOKENS, COMMON = 1_500_000, 1.2, 0.75, 10, 0.2
+#: A shard has so many documents or tokens (the document that reaches it included); BM25's parameters; rare tokens that sort a document.
+SHARD_DOCS, SHARD_TOKENS, K1, B, RARE = 512, 1 << 18, 1.2, 0.75, 3
 #: A sequence's id is its partition's number times this, plus a count.
 SEQUENCES = 1 << 40
 
 
+@dataclass
+class Corpus:
+    """What BM25 needs of the whole corpus: documents, their mean length, and the inverse frequency of each token."""
+
+    docs: int
+    mean: float
+    df: np.ndarray
+
+    def __post_init__(self):
+        self.idf = np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
+        # tokens from the rarest that two documents have to the commonest; those of one document tell nothing
+        order = np.lexsort((np.arange(len(self.df)), np.where(self.df > 1, self.df, np.iinfo(np.int64).max)))
+        self.rank = np.empty(len(self.df), np.int32)
+        self.rank[order] = np.arange(len(self.df))
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct tokens and how often each occurs."""
+    x = np.sort(ids, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[at], np.diff(np.append(at, len(x)))
+
+
 class Bm25:
-    """An inverted index over one shard: for each token the documents that have it and their weights."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
-        terms, counts = [], []
-        for ids in docs:
-            x = np.sort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            terms.append(x[at])
-            counts.append(np.diff(np.append(at, len(x))))
-        size = np.array([len(x) for x in docs], np.float64)
-        owner = np.repeat(np.arange(n), [len(t) for t in terms])
-        term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
-        df = np.bincount(term)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.idf[(df < 2) | (df > max(2, COMMON * n))] = 0
-        useful = self.idf[term] > 0
-        term, tf, owner = term[useful], tf[useful], owner[useful]
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / max(size.mean(), 1)))
-        self.of_doc = np.searchsorted(owner, np.arange(n + 1))
-        self.term, self.own = term, weight
-        order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(df)))])
-        self.n = n
+    """An inverted index over one shard: for each of its tokens the documents that have it and their weights, in one table."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
+        found = [distinct(ids) for ids in docs]
+        sizes = np.array([len(x) for x in docs], np.float32)
+        owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in found])
+        all_terms = np.concatenate([t for t, _ in found])
+        known, term = np.unique(all_terms, return_inverse=True)
+        tf = np.concatenate([n for _, n in found]).astype(np.float32)
+        self.weight = np.zeros((len(known), len(docs)), np.float32)
+        self.weight[term, owner] = corpus.idf[all_terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / max(corpus.mean, 1)))
+        self.terms = np.split(term, np.cumsum([len(t) for t, _ in found])[:-1])
+
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of every document of the shard for all distinct tokens of one of them."""
+        return self.weight[self.terms[doc]].sum(axis=0)
 
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share the seed's weightiest tokens, best first, ties to the earlier one."""
-        a, b = self.of_doc[doc], self.of_doc[doc + 1]
-        if a == b:
-            return np.zeros(0, np.int64)
-        term = self.term[a:b]
-        if b - a > QUERY_TOKENS:
-            term = term[np.argpartition(-self.own[a:b], QUERY_TOKENS)[:QUERY_TOKENS]]
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in term.tolist()]
-        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """Unused documents that share a token with the seed, best first, ties to the earlier one."""
+        score = self.scores(doc)
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
@@ -94,9 +101,9 @@ class Packer:
         self.pieces += self.open
         self.open, self.filled, self.sequence = [], 0, self.sequence + 1
 
-    def pack(self, docs: list[np.ndarray], base: int) -> None:
+    def pack(self, docs: list[np.ndarray], base: int, corpus: Corpus) -> None:
         """Places all documents of a shard; base is added to their numbers."""
-        index, used = Bm25(docs), np.zeros(len(docs), bool)
+        index, used = Bm25(docs, corpus), np.zeros(len(docs), bool)
         for first in range(len(docs)):
             if used[first]:
                 continue
@@ -131,18 +138,86 @@ class Packer:
         self.filled = 0
 
 
-def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) of whole texts, the end id last; ids are 16-bit numbers where the vocabulary allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.vocabulary(path)
+        kind = _kind(coder)
+        for batch in batches:
+            for at in range(0, batch.num_rows, bpe.SLICE):
+                rows = batch.slice(at, bpe.SLICE)
+                ids = [np.frombuffer(raw + END.to_bytes(4, "little"), "<u4").astype(kind).tobytes() for raw in coder.encode(rows.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        coder.rest()
+
+    texts = only(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    return texts.transform(batched, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+
+
+def _kind(coder: bpe.ByteBpe) -> str:
+    return "<u2" if len(coder.lengths) <= 1 << 16 else "<u4"
+
+
+def corpus_of(rows: DataFrame, path: str) -> Corpus:
+    """Document frequencies over all documents; what reaches the driver has a row for each token of the vocabulary at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.vocabulary(path)
+        df, sums, kind = np.zeros(len(coder.lengths), np.int64), np.zeros(2, np.int64), _kind(coder)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                ids = np.frombuffer(raw, kind)
+                df[distinct(ids)[0]] += 1
+                sums += (1, len(ids))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([sums, df[at]]))], ["token", "n"])
+
+    got = rows.select("ids").transform(batched, run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    token, n = got["token"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(len(bpe.vocabulary(path).lengths), np.int64)
+    df[token[token >= 0]] = n[token >= 0]
+    docs, tokens = (int(n[token == k].sum()) for k in (-2, -1))
+    return Corpus(docs, tokens / max(docs, 1), df)
+
+
+def routed(rows: DataFrame, corpus: Corpus, path: str) -> DataFrame:
+    """rows dealt by ranges of (route, salt) and sorted by them; route is a document's rarest tokens, the rarest first.
+
+    The salt, a hash of the row, lets a group of copies of any size be cut between partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _kind(bpe.vocabulary(path))
+        for batch in batches:
+            found = np.full((batch.num_rows, RARE), 1 << 16 if kind == "<u2" else 1 << 30, np.int64)
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                low = corpus.rank[distinct(np.frombuffer(raw, kind))[0]]
+                low = np.sort(np.partition(low, RARE)[:RARE] if len(low) > RARE else low)
+                found[i, : len(low)] = low
+            keys = [f"r{k}" for k in range(RARE)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(found[:, k].astype(np.int32)) for k in range(RARE)]], ["doc_id", "ids", *keys])
+
+    keys = [f"r{k}" for k in range(RARE)]
+    out = rows.transform(batched, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, " + ", ".join(f"{k} int" for k in keys))
+    out = out.withColumn("salt", F.xxhash64("doc_id", "ids"))
+    return out.repartitionByRange(parts(rows), *keys, "salt").sortWithinPartitions(*keys, "salt").select("doc_id", "ids")
+
+
+def pack(docs: DataFrame, path: str | None = None, shard_docs: int = SHARD_DOCS, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and `ids`, binary).
 
-    A null or empty text is one token, the end id. Repeated rows are documents of their own. An empty table has no piece.
+    A null or empty text is one token, the end id; texts of any length are packed whole. Repeated rows are documents of their
+    own; other columns play no part. An empty table has no piece.
     """
     path = path or bpe.default_path()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"`{c}` bigint" for c in names[1:]) + (", ids binary" if with_ids else "")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"`{c}` bigint" for c in names[1:]) + (", ids binary" if with_ids else "")
+    rows = cut(encoded(docs, path))
+    corpus = corpus_of(rows, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = bpe.vocabulary(path), Packer()
+        packer, kind = Packer(), _kind(bpe.vocabulary(path))
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) * SEQUENCES
         key: pa.DataType | None = None
         held: dict[int, tuple[object, np.ndarray]] = {}  # documents that an open window still refers to
@@ -152,7 +227,7 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
         def out() -> pa.RecordBatch:
             pieces, packer.pieces = packer.pieces, []
             cols = np.array(pieces, np.int64).reshape(-1, 5)
-            ids = [held[d][1][s : s + n].tobytes() for d, s, n, *_ in pieces]
+            ids = [held[d][1][s : s + n].astype("<u4").tobytes() for d, s, n, *_ in pieces]
             arrays = [
                 pa.array([held[d][0] for d in cols[:, 0].tolist()], key), pa.array(cols[:, 1]), pa.array(cols[:, 2]), pa.array(np.array([zlib.crc32(x) for x in ids], np.int64)),
                 pa.array(np.array([len(held[d][1]) for d in cols[:, 0].tolist()], np.int64)), pa.array(cols[:, 3] + base), pa.array(cols[:, 4]),
@@ -164,22 +239,19 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
 
         for batch in batches:
             key = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, bpe.SLICE):
-                rows = batch.slice(at, bpe.SLICE)
-                for doc_id, raw in zip(rows.column(0).to_pylist(), coder.encode(rows.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(raw + END.to_bytes(4, "little"), "<u4")
-                    held[count] = (doc_id, ids)
-                    shard.append(ids)
-                    count, size = count + 1, size + len(ids)
-                    if size >= shard_tokens:
-                        packer.pack(shard, first)
-                        shard, size, first = [], 0, count
-                        yield out()
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(raw, kind)
+                held[count] = (doc_id, ids)
+                shard.append(ids)
+                count, size = count + 1, size + len(ids)
+                if size >= SHARD_TOKENS or len(shard) >= shard_docs:
+                    packer.pack(shard, first, corpus)
+                    shard, size, first = [], 0, count
+                    yield out()
         if shard:
-            packer.pack(shard, first)
+            packer.pack(shard, first, corpus)
         packer.finish()
         if packer.pieces:
             yield out()
-        coder.rest()
 
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).transform(batched, run, schema)
+    return routed(rows, corpus, path).transform(batched, run, schema)
