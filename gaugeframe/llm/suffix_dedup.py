@@ -3,13 +3,17 @@
 A sparse suffix array does: winnowing picks anchors so that every 200-byte window holds the anchor its own bytes decide,
 and equal windows hold it at the same place. Suffixes that start at anchors are sharded by their first 80 bytes. In a
 shard the sorted suffixes and their common prefixes are scanned with a stack, which gives the common-prefix intervals:
-every set of occurrences that share so many bytes to the right. Among an interval's members, sorted by what stands to
-their left, the common left extensions show where the repeat ends on that side; an interval whose left extensions differ
-is a maximal repeat with all its occurrences. A byte is removed where left and right extension together reach 200.
-
-Occurrences whose whole surroundings (120 bytes left, 200 right) are equal are counted, not expanded: they need no
-scan. Within a batch they are combined before the shuffle, so a passage that a third of all documents share doesn't send
-a third of all anchors to one task. Hashes are 64 bits wide; extensions are compared byte by byte.
+every set of occurrences that share so many bytes to the right. The members of an interval, sorted by what stands to
+their left, are scanned in the same way; a set whose members lie in different children of the interval, and differ in the
+byte to their left, is a maximal repeat with all its occurrences. What maximal repeats of 200 bytes or more cover, goes.
+
+Occurrences whose whole surroundings (120 bytes left, 200 right) are equal stand in the tree as one member. Within a batch
+they are combined before the shuffle, and frequent grams are broadcast, so a passage that a third of all documents share
+doesn't send a third of all anchors to one task. A shard with too many members for one tree is built from the top: what all
+its members share is the first interval, and the members are split by the next bytes to the right and, once more, to the left
+of that. Two occurrences of a longer common string share the one or the other, so each pair is in one of the parts, and parts
+are split again until a tree can hold them.
+Surroundings and grams are compared by 64-bit hashes; extensions are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -19,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import batched, cut, parts
+from gaugeframe.llm._shared import batched, cut, met, only, packed, parts, unpacked
 
 LENGTH, GRAM = 200, 80
 LEFT, SPAN = LENGTH - GRAM, LENGTH - GRAM + 1
-#: Distinct surroundings of a shard beyond which its windows are counted one by one instead (the same result).
+#: Members of a shard beyond which it is split into parts.
 TREE_MEMBERS = 4096
 #: Bytes of text that are hashed at once, at least.
 AT_ONCE = 1 << 17
@@ -145,34 +149,52 @@ def combined(keys: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.nd
     return tuple(np.concatenate(x) for x in zip(rows, cover, strict=True))
 
 
-def anchor_rows(base: DataFrame) -> DataFrame:
-    """(doc_id, key, text) -> (h, around, key, at, kind): at packs start, left and right; a cover has begin and end instead."""
+def anchor_rows(base: DataFrame, combine: bool = True, apart: bool = True) -> DataFrame:
+    """(doc_id, key, text) -> (h, around, key, at, kind): at packs start, left and right; a cover has begin and end instead.
+
+    Rows with the same key count as copies of each other if `apart`, else as one document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not apart:
+                batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))
             keys, found = batch.column(0).to_numpy(), []
             for first, some in _runs(batch.column(1).to_pylist()):
                 owner, *rest = anchors(some)
                 found.append((keys[first + owner], *rest))
             if found:
-                rows = combined(*[np.concatenate(x) for x in zip(*found, strict=True)])
+                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                rows = combined(*columns) if combine else single(*columns)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["h", "around", "key", "at", "kind"])
 
     return base.select("key", "text").transform(batched, run, "h bigint, around bigint, key bigint, at bigint, kind int")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Covers, and anchors whose gram occurs again: `same` if the surroundings do too, `first` of equal surroundings, and how many differ."""
-    by = Window.partitionBy("h").orderBy("around")
-    anchor = F.col("kind") != COVER
-    group = F.when(anchor, F.col("around"))
-    before, after = F.lag(group).over(by), F.lead(group).over(by)
-    again = F.coalesce(F.col("around") == before, F.lit(False))
-    now = rows.select("*", (anchor & ~again).alias("first"), (again | F.coalesce(F.col("around") == after, F.lit(False)) | (F.col("kind") == MANY)).alias("same"))
-    now = now.withColumn("differ", F.sum(F.col("first").cast("int")).over(Window.partitionBy("h")))
-    cover = F.col("kind") == COVER
-    now = now.where(cover | F.col("same") | (F.col("differ") > 1))
-    return now.select("h", F.when(cover, F.col("around")).alias("begin"), "key", "at", "kind", "first", (F.col("same") & ~cover).alias("same"), "differ")
+def single(keys: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, h: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
+    """combined() without combining: a row for each anchor."""
+    return h.view(np.int64), around.view(np.int64), keys, (start << 16) | (left << 8) | right, np.full(len(h), ONE, np.int32)
+
+
+def _again(apart: bool) -> Column:
+    """Whether a group of anchors has more than one occurrence."""
+    other = (F.min(F.xxhash64("key", "at")) != F.max(F.xxhash64("key", "at"))) | (F.max("kind") == MANY)
+    return other | (F.count("*") > 1) if apart else other
+
+
+def repeated(rows: DataFrame, apart: bool = True) -> DataFrame:
+    """Anchors (a written table, without covers) whose gram occurs again, with what is known of their surroundings:
+
+    `same` if other anchors have equal ones, `first` for one anchor of equal ones, and `differ`, how many the gram has.
+    """
+    grams = cut(rows.groupBy("h").agg(_again(apart).alias("again"), F.count("*").alias("times")).where("again").select("h", "times"))
+    hits = cut(met(rows, grams, ["h"], rows.count()).drop("times"))
+    by = ["h", "around"]
+    per = cut(hits.groupBy(*by).agg(_again(apart).alias("same"), F.min(F.xxhash64("key", "at")).alias("least"), F.count("*").alias("times")))
+    differ = cut(per.groupBy("h").agg(F.count("*").alias("differ")).select("h", "differ", F.col("differ").alias("times")))
+    per = cut(met(per.withColumnRenamed("times", "n"), differ, ["h"], per.count()).drop("times").withColumnRenamed("n", "times"))
+    found = met(hits, per, by, hits.count())
+    return found.select("h", "around", "key", "at", "kind", "same", (F.xxhash64("key", "at") == F.col("least")).alias("first"), "differ")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -183,48 +205,50 @@ def common(a: bytes, b: bytes) -> int:
     return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
 
 
-def intervals(rights: list[bytes]) -> Iterator[tuple[int, list[int]]]:
-    """(common prefix, members) of each common-prefix interval of some suffixes, children before their parents."""
-    order = sorted(range(len(rights)), key=rights.__getitem__)
+def intervals(rights: list[bytes], members: list[int] | None = None) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(common prefix, members, their children) of each common-prefix interval of some suffixes, children before their parents.
+
+    A member's child is a number that it shares with those of the interval that share more than its common prefix.
+    """
+    order = sorted(range(len(rights)) if members is None else members, key=rights.__getitem__)
+    shares = [common(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
     stack: list[tuple[int, int]] = []
     for i in range(1, len(order) + 1):
-        shared = common(rights[order[i - 1]], rights[order[i]]) if i < len(order) else -1
-        begin = i - 1
+        shared, begin = shares[i - 1] if i < len(order) else -1, i - 1
         while stack and stack[-1][0] > shared:
             depth, begin = stack.pop()
-            yield depth, order[begin:i]
+            child, children = 0, [0]
+            for k in range(begin, i - 1):
+                child += shares[k] == depth
+                children.append(child)
+            yield depth, order[begin:i], children
         if shared >= 0 and (not stack or stack[-1][0] < shared):
             stack.append((shared, begin))
 
 
-def extents(lefts: list[bytes], rights: list[bytes]) -> tuple[list[int], list[int], list[tuple[int, int, list[int]]]]:
-    """For occurrences with the same gram: how far to the left and right each is covered, and the maximal repeats.
+def maximal(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> list[tuple[int, int, list[int]]]:
+    """The maximal repeats (left, right, members) of occurrences with the same gram; lefts are read backwards from the anchor.
 
-    lefts are read backwards from the anchor. A repeat is (left, right, members): its members share that much on either
-    side and no more, as another character (or a text's edge) stands to the left of some of them.
+    Members share so much on either side, `length` bytes together at least. To their left they have different bytes (or a
+    text's edge), as they are an interval of the left extensions; to their right too, as they are in different children.
     """
-    m = len(rights)
-    rank = [0] * m
-    for r, i in enumerate(sorted(range(m), key=lefts.__getitem__)):
-        rank[i] = r
-    far_left, far_right, found = [-1] * m, [-1] * m, []
-    for depth, members in intervals(rights):
-        if depth + LEFT < LENGTH:
+    found = []
+    for depth, members, children in intervals(rights):
+        if depth + LEFT < length:
             continue
-        members = sorted(members, key=rank.__getitem__)
-        shared = [common(lefts[a], lefts[b]) for a, b in zip(members, members[1:], strict=False)]
-        for k, i in enumerate(members):
-            best = max(shared[k - 1] if k else 0, shared[k] if k < len(shared) else 0)
-            if best + depth >= LENGTH:
-                far_left[i], far_right[i] = max(far_left[i], best), max(far_right[i], depth)
-        if (least := min(shared)) + depth >= LENGTH and len({lefts[i][least : least + 1] for i in members}) > 1:
-            found.append((least, depth, members))
-    return far_left, far_right, found
+        child = dict(zip(members, children, strict=True))
+        for shared, some, _ in intervals(lefts, members):
+            if shared + depth >= length and len({child[i] for i in some}) > 1:
+                found.append((shared, depth, some))
+    return found
+
+
+MEMBER = "h bigint, key bigint, at bigint, same boolean, lft binary, rgt binary"
 
 
 def surroundings(base: DataFrame, members: DataFrame) -> DataFrame:
-    """The bytes around anchors: (h, key, at, same, differ, around)."""
-    wanted = members.groupBy("key").agg(F.collect_list(F.struct("h", "at", "same", "differ")).alias("a"))
+    """The bytes around anchors: (h, key, at, same, lft, rgt), lft read backwards from the anchor."""
+    wanted = members.groupBy("key").agg(F.collect_list(F.struct("h", "at", "same")).alias("a"))
     joined = base.join(wanted.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key")).select("doc_id", "key", "text", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,119 +256,169 @@ def surroundings(base: DataFrame, members: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 text, want = batch.column(2)[i].as_py(), batch.column(3)[i].values
                 at = want.field("at").to_numpy()
-                start = at >> 16
-                begin, end = (start - (at >> 8 & 255)).tolist(), (start + (at & 255)).tolist()
-                cuts = pa.array([text[a:b] for a, b in zip(begin, end, strict=True)], pa.binary())
+                start = (at >> 16).tolist()
+                left = pa.array([text[a - n : a][::-1] for a, n in zip(start, (at >> 8 & 255).tolist(), strict=True)], pa.binary())
+                right = pa.array([text[a : a + n] for a, n in zip(start, (at & 255).tolist(), strict=True)], pa.binary())
                 keys = pa.array(np.full(len(at), batch.column(1)[i].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([want.field("h"), keys, want.field("at"), want.field("same"), want.field("differ"), cuts], ["h", "key", "at", "same", "differ", "around"])
-
-    return joined.transform(batched, run, "h bigint, key bigint, at bigint, same boolean, differ bigint, around binary")
+                yield pa.RecordBatch.from_arrays([want.field("h"), keys, want.field("at"), want.field("same"), left, right], ["h", "key", "at", "same", "lft", "rgt"])
 
+    return joined.transform(batched, run, MEMBER)
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows with the same first column, from batches sorted by it."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and held[0][0] != row[0]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
 
+def first_intervals(rest: DataFrame) -> DataFrame:
+    """(h, times, x, y) of each shard with several members: how many bytes all of them share to the left and to the right."""
 
-def _shards(around: DataFrame) -> DataFrame:
-    return around.repartition(parts(around), "h").sortWithinPartitions("h").select("h", "key", "at", "same", "around")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [c.to_pylist() for c in batch.columns[2:]]
+            x, y = [pa.array([common(a, b) for a, b in zip(low, high, strict=True)], pa.int32()) for low, high in (ends[:2], ends[2:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], x, y], ["h", "times", "x", "y"])
 
+    ends = rest.groupBy("h").agg(F.count("*").alias("times"), F.min("lft").alias("a"), F.max("lft").alias("b"), F.min("rgt").alias("c"), F.max("rgt").alias("d"))
+    return ends.where("times > 1").transform(batched, run, "h bigint, times bigint, x int, y int")
 
-def _sides(group: list[tuple]) -> tuple[list[bytes], list[bytes]]:
-    left = [r[2] >> 8 & 255 for r in group]
-    return [r[4][:n][::-1] for r, n in zip(group, left, strict=True)], [r[4][n:] for r, n in zip(group, left, strict=True)]
 
+def split(big: DataFrame) -> DataFrame:
+    """Members with x and y dealt into parts (new h) by their next bytes to the right, and again by those to the left.
 
-def covered_by_tree(around: DataFrame) -> DataFrame:
-    """(key, begin, end) of what the shards' interval trees cover."""
+    If the shared bytes are fewer than a repeat needs, a pair has half of the open ones to the right, or the others to the
+    left; otherwise a pair that shares more has one more byte to either side.
+    """
+    names = ["h", "key", "at", "same", "lft", "rgt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-
-        def packed() -> pa.RecordBatch:
-            x = np.array(out, np.int64).reshape(-1, 3)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x[:, k].copy()) for k in range(3)], ["key", "begin", "end"])
-
-        for group in _groups(batches):
-            left, right, _ = extents(*_sides(group))
-            for (_, key, at, same, _), a, b in zip(group, left, right, strict=True):
-                if a >= 0 and not same:
-                    out.append((key, (at >> 16) - a, (at >> 16) + b))
-            if len(out) > 10_000:
-                yield packed()
-        yield packed()
-
-    return _shards(around).transform(batched, run, "key bigint, begin bigint, end bigint")
+        for batch in batches:
+            rows = []
+            for h, key, at, same, lft, rgt, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                open_ = max(1, LENGTH - x - y)
+                right = (open_ + 1) // 2
+                for side, more, begin, own in ((b"r", right, y, rgt), (b"l", open_ + 1 - right, x, lft)):
+                    if begin + more <= len(own):
+                        part = hashlib.blake2b(own[begin : begin + more], digest_size=8, key=(h & (1 << 64) - 1).to_bytes(8, "little"), salt=side).digest()
+                        rows.append((int.from_bytes(part, "little", signed=True), key, at, same, lft, rgt))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
+    return big.select(*names, "x", "y").transform(batched, run, MEMBER)
 
-def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """Maximal repeats of 200 bytes or more around anchors: (repeat, length, doc_id, start), a row for each occurrence.
 
-    Occurrences whose surroundings are equal on both sides stand for themselves by their first one.
-    """
-    base = _base(docs)
-    members = repeated(anchor_rows(base)).where(F.col("first") & (F.col("differ") > 1))
-    around = surroundings(base, members)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows with the same first column, from batches sorted by it; a row that repeats (key, at) once."""
+    held: dict[tuple, tuple] = {}
+    now = None
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and now != row[0]:
+                yield list(held.values())
+                held = {}
+            now = row[0]
+            held[row[1], row[2]] = row
+    if held:
+        yield list(held.values())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            rows = []
-            for k, (a, b, some) in enumerate(extents(*_sides(group))[2]):
-                rows += [(f"{group[0][0] & (1 << 64) - 1:016x}-{k}", a + b, group[i][1], (group[i][2] >> 16) - a) for i in some]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], ["repeat", "length", "key", "start"])
 
-    found = _shards(around).transform(batched, run, "repeat string, length bigint, key bigint, start bigint")
-    return found.join(base.select("doc_id", "key"), "key").select("repeat", "length", "doc_id", "start")
+REPEAT = "h bigint, repeat bigint, key bigint, at bigint, same boolean, x bigint, y bigint"
 
 
-def covered_by_window(around: DataFrame) -> DataFrame:
-    """(key, begin, end) of the windows around anchors that occur again; for shards too large for one tree."""
+def tree_repeats(shards: DataFrame) -> DataFrame:
+    """(h, repeat, key, at, same, x, y): the members of the maximal repeats in each shard's tree, with what they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, key, at, text in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                left = at >> 8 & 255
-                begin = np.arange(max(0, left - LEFT), max(0, len(text) - LENGTH) + 1)
-                begin = begin[(begin <= left) & (begin + LENGTH >= left + GRAM)]
-                value = Hashes(np.frombuffer(text, np.uint8)).of(begin, begin + LENGTH)
-                value = _mixed(value + np.uint64(h & (1 << 64) - 1) + (left - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(begin), key, np.int64)), pa.array((at >> 16) - left + begin)], ["w", "key", "begin"])
+        rows: list[tuple] = []
 
-    windows = around.select("h", "key", "at", "around").transform(batched, run, "w bigint, key bigint, begin bigint")
-    by = Window.partitionBy("w").orderBy("key", "begin")
-    again = F.lag("w").over(by).isNotNull() | F.lead("w").over(by).isNotNull()
-    return windows.withColumn("again", again).where("again").select("key", "begin", (F.col("begin") + LENGTH).alias("end"))
+        def out() -> pa.RecordBatch:
+            kinds = [pa.bool_() if k == 4 else pa.int64() for k in range(7)]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, ["h", "repeat", "key", "at", "same", "x", "y"])
+
+        for group in _groups(batches):
+            for k, (left, right, some) in enumerate(maximal([r[4] for r in group], [r[5] for r in group])):
+                rows += [(group[i][0], k, group[i][1], group[i][2], group[i][3], left, right) for i in some]
+                if len(rows) > 10_000:
+                    yield out()
+        yield out()
+
+    dealt = shards.repartition(parts(shards), "h").sortWithinPartitions("h")
+    return dealt.select("h", "key", "at", "same", "lft", "rgt").transform(batched, run, REPEAT)
+
+
+def repeats(base: DataFrame, members: DataFrame, most: int = TREE_MEMBERS) -> DataFrame:
+    """tree_repeats of all shards; members are one anchor for each of several surroundings (a written table)."""
+    shards = surroundings(base, members.where(F.col("differ") <= most))
+    whole = None
+    if members.where(F.col("differ") > most).limit(1).count():
+        rest = cut(surroundings(base, members.where(F.col("differ") > most)).dropDuplicates(["h", "key", "at"]))
+        while rest is not None:
+            ends = cut(first_intervals(rest))
+            rest = cut(met(rest, ends, ["h"], rest.count()))
+            shards = shards.unionByName(rest.where(F.col("times") <= most).drop("times", "x", "y"))
+            big = rest.where(F.col("times") > most)
+            shared = big.where(F.col("x") + F.col("y") >= LENGTH).select("h", F.lit(-1).cast("long").alias("repeat"), "key", "at", "same", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+            whole = shared if whole is None else whole.unionByName(shared)
+            rest = cut(split(big)) if big.limit(1).count() else None
+    found = tree_repeats(shards)
+    return found if whole is None else found.unionByName(whole)
+
+
+def _place(shift: Column) -> Column:
+    return F.shiftright("at", 16) - shift
+
+
+def maximal_repeats(docs: DataFrame, most: int = TREE_MEMBERS) -> DataFrame:
+    """Maximal repeats of 200 bytes or more: (repeat, length, doc_id, start), a row for each of all their occurrences.
+
+    A repeat ends where its occurrences begin to differ. One that is longer than the surroundings of an anchor (120 bytes
+    to the left, 200 to the right) is put together from the pieces that have the same occurrences; where a part of it occurs
+    elsewhere too, that part is a repeat of its own and the rest comes in the pieces to its sides. Rows that repeat a doc_id
+    and text are one document. Null and short texts have no repeats; an empty table has no rows.
+    """
+    base = _base(docs)
+    found = cut(repeated(cut(anchor_rows(base, combine=False, apart=False)), apart=False))
+    members = found.where(F.col("first") & (F.col("differ") > 1))
+    left, right = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
+    # anchors with equal surroundings are a repeat of these; in a tree one of them stands for all
+    alike = found.select("h", "around", "key", "at").distinct()
+    equal = found.where("same").select(F.concat_ws(":", "h", "around").alias("piece"), "key", _place(left).alias("start"), (left + right).alias("length")).distinct()
+    stood = repeats(base, members, most).select(F.concat_ws(":", "h", "repeat", F.lit("t")).alias("piece"), "key", "at", "x", "y")
+    stood = stood.join(members.select("key", "at", "h", "around").distinct(), ["key", "at"]).select("piece", "h", "around", "x", "y")
+    pieces = stood.join(alike, ["h", "around"]).select("piece", "key", _place(F.col("x")).alias("start"), (F.col("x") + F.col("y")).alias("length"))
+    pieces = cut(equal.unionByName(pieces).distinct())
+    # pieces with the same occurrences, but for a shift: the same documents, and the same sum of weighted starts from the first one's
+    weight = F.pmod(F.xxhash64("key"), F.lit(1_000_003)).cast("decimal(20,0)")
+    total = lambda c: F.sum(c.cast("decimal(38,0)"))
+    per = pieces.groupBy("piece", "length").agg(
+        F.min(F.struct("key", "start")).alias("lead"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("keys"), total(weight * F.col("start")).alias("s"), total(weight).alias("w"),
+        F.sum("start").alias("plain"),
+    )
+    first = F.col("lead.start")
+    per = per.select("piece", "length", F.col("lead.key").alias("key"), first.alias("start"), "n", "keys", (F.col("s") - F.col("w") * first).alias("shape"), (F.col("plain") - F.col("n") * first).alias("rest"))
+    by = Window.partitionBy("key", "n", "keys", "shape", "rest").orderBy("start", F.desc("length"), "piece")
+    high = F.max(F.col("start") + F.col("length")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    islands = per.withColumn("island", F.sum((F.coalesce(F.col("start") > high, F.lit(True))).cast("int")).over(by))
+    name = Window.partitionBy("key", "n", "keys", "shape", "rest", "island")
+    heads = islands.withColumn("end", F.max(F.col("start") + F.col("length")).over(name)).withColumn("r", F.row_number().over(name.orderBy("start", F.desc("length"), "piece")))
+    heads = heads.where("r = 1").select("piece", (F.col("end") - F.col("start")).alias("total"))
+    out = pieces.join(heads, "piece").join(base.select("key", "doc_id").distinct(), "key")
+    return out.select(F.col("piece").alias("repeat"), F.col("total").cast("long").alias("length"), "doc_id", "start")
 
 
 def _base(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the row's doc_id and text as its key, and the text's bytes (null: none)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.cast("binary").alias("text"))
+    return only(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.cast("binary").alias("text"))
 
 
-def covered(docs: DataFrame, tree_members: int = TREE_MEMBERS) -> DataFrame:
-    """(key, begin, end): stretches of the documents' bytes that repeated 200-byte strings cover."""
+def covered(docs: DataFrame, apart: bool = True, most: int = TREE_MEMBERS) -> DataFrame:
+    """(key, begin, end): what maximal repeats cover of the documents' bytes. Rows that repeat a key are copies if `apart`."""
     base = _base(docs)
-    found = cut(repeated(anchor_rows(base)))
-    start = F.shiftright("at", 16)
-    known = found.where(F.col("kind") == COVER).select("key", "begin", F.col("at").alias("end"))
-    whole = found.where(F.col("same") & (F.col("kind") == ONE)).select("key", (start - F.shiftright("at", 8).bitwiseAND(255)).alias("begin"), (start + F.col("at").bitwiseAND(255)).alias("end"))
-    members = found.where(F.col("first") & (F.col("differ") > 1))
-    tree = covered_by_tree(surroundings(base, members.where(F.col("differ") <= tree_members)))
-    out = known.union(whole).union(tree)
-    if members.where(F.col("differ") > tree_members).limit(1).count():
-        out = out.union(covered_by_window(surroundings(base, members.where(F.col("differ") > tree_members))))
-    return out
+    rows = cut(anchor_rows(base, apart=apart))
+    known = rows.where(F.col("kind") == COVER).select("key", F.col("around").alias("begin"), F.col("at").alias("end"))
+    found = cut(repeated(rows.where(F.col("kind") != COVER), apart))
+    left, right = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
+    equal = found.where(F.col("same") & (F.col("kind") == ONE)).select("key", _place(left).alias("begin"), _place(-right).alias("end"))
+    tree = repeats(base, found.where(F.col("first") & (F.col("differ") > 1)), most).where("not same")
+    return known.union(equal).union(tree.select("key", _place(F.col("x")).alias("begin"), _place(-F.col("y")).alias("end")))
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,9 +429,9 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[head], high[np.append(np.flatnonzero(head)[1:] - 1, len(high) - 1)]
 
 
-def _joined(docs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    spans = covered(docs).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("__spans"))
-    return rows.join(spans.withColumnRenamed("key", "__covered"), F.col(key) == F.col("__covered"), "left").drop("__covered")
+def _spans(docs: DataFrame, apart: bool, most: int) -> DataFrame:
+    """(covered, spans): for each key that has some, its covered stretches."""
+    return covered(docs, apart, most).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).withColumnRenamed("key", "covered")
 
 
 def _kept(text: bytes, spans: pa.Scalar) -> tuple[bytes, int, int]:
@@ -369,13 +443,15 @@ def _kept(text: bytes, spans: pa.Scalar) -> tuple[bytes, int, int]:
     return b"".join([text[a:b] for a, b in edges]), int((end - begin).sum()), len(begin)
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans and SHA-256 of the remaining bytes.
+def digest(docs: DataFrame, most: int = TREE_MEMBERS) -> DataFrame:
+    """Per row of docs: n_bytes, n_removed, n_spans and SHA-256 of the remaining bytes.
 
-    Null texts are empty; texts under 200 bytes lose nothing. Rows that repeat a doc_id and text are copies of each
-    other. Empty tables give no rows.
+    Null texts are empty; texts under 200 bytes lose nothing; longer ones of any length are taken whole. Rows that repeat a
+    doc_id and text are copies of each other, and lose all but what is under 200 bytes. Other columns play no part. Empty
+    tables give no rows.
     """
-    joined = _joined(docs, _base(docs), "key").select("doc_id", "text", "__spans")
+    base = _base(docs)
+    joined = base.join(_spans(docs, True, most), F.col("key") == F.col("covered"), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,30 +468,30 @@ def digest(docs: DataFrame) -> DataFrame:
     return joined.transform(batched, run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, most: int = TREE_MEMBERS) -> DataFrame:
     """docs with covered bytes removed from `text` and n_chars brought up to date; documents left without a word go.
 
-    Bytes of a character that was cut in two become U+FFFD. Documents from which nothing was removed pass unchanged.
+    Rows that repeat a doc_id and text are one document here, not copies: they lose what it shares with others or within
+    itself. Copies under different doc_ids lose all that they share. Bytes of a character that was cut in two become U+FFFD.
+    Rows from which nothing was removed pass unchanged, null and empty texts included. All columns stay, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__key", F.xxhash64("doc_id", text))
-    joined = _joined(docs, marked, "__key").drop("__key")
-    names = docs.columns
-    at_text, at_spans = names.index("text"), len(names)
+    rows = packed(docs, "doc_id", "text").select("row", F.xxhash64("doc_id", text).alias("key"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(_spans(docs, False, most), F.col("key") == F.col("covered"), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, stays = [], []
+            out, lost, stays = [], [], []
             for i in range(batch.num_rows):
-                own = batch.column(at_text)[i].as_py()
-                left, removed, _ = _kept((own or "").encode(), batch.column(at_spans)[i])
+                own = batch.column(1)[i].as_py()
+                left, removed, _ = _kept((own or "").encode(), batch.column(2)[i])
                 out.append(left.decode(errors="replace") if removed else own)
+                lost.append(removed > 0)
                 stays.append(not removed or bool(left.split()))
-            columns = [pa.array(out, pa.string()) if k == at_text else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(stays, pa.bool_())], [*names, "__stays"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __stays boolean"
-    kept = joined.select(*names, "__spans").transform(batched, run, schema).where("__stays")
-    if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(lost, pa.bool_()), pa.array(stays, pa.bool_())], ["row", "text", "lost", "stays"])
+
+    kept = joined.transform(batched, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, lost boolean, stays boolean").where("stays")
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("lost"), F.char_length("text")).otherwise(F.col("row")[f"c{docs.columns.index('n_chars')}"])
+    return unpacked(kept, docs, **changed)
