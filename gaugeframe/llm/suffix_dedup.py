@@ -320,8 +320,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 REPEAT = "h bigint, repeat bigint, key bigint, at bigint, same boolean, x bigint, y bigint"
 
 
-def tree_repeats(shards: DataFrame) -> DataFrame:
-    """(h, repeat, key, at, same, x, y): the members of the maximal repeats in each shard's tree, with what they share."""
+def tree_repeats(shards: DataFrame, each: bool = True) -> DataFrame:
+    """(h, repeat, key, at, same, x, y): the members of the maximal repeats in each shard's tree, with what they share.
+
+    Without `each`, a member has one row (with repeat 0) that says how far its repeats reach to either side: they all hold
+    its anchor, so that together they cover one stretch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -333,17 +337,28 @@ def tree_repeats(shards: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["h", "repeat", "key", "at", "same", "x", "y"])
 
         for group in _groups(batches):
-            for k, (left, right, some) in enumerate(maximal([r[4] for r in group], [r[5] for r in group])):
+            found = maximal([r[4] for r in group], [r[5] for r in group])
+            if not each:
+                reach: dict[int, tuple[int, int]] = {}
+                for left, right, some in found:
+                    for i in some:
+                        x, y = reach.get(i, (0, 0))
+                        reach[i] = max(x, left), max(y, right)
+                rows += [(*group[i][:1], 0, *group[i][1:4], x, y) for i, (x, y) in reach.items()]
+                found = []
+            for k, (left, right, some) in enumerate(found):
                 rows += [(group[i][0], k, group[i][1], group[i][2], group[i][3], left, right) for i in some]
                 if len(rows) > 10_000:
                     yield out()
+            if len(rows) > 10_000:
+                yield out()
         yield out()
 
     dealt = shards.repartition(parts(shards), "h").sortWithinPartitions("h")
     return dealt.select("h", "key", "at", "same", "lft", "rgt").transform(batched, run, REPEAT)
 
 
-def repeats(base: DataFrame, members: DataFrame, most: int = TREE_MEMBERS) -> DataFrame:
+def repeats(base: DataFrame, members: DataFrame, most: int = TREE_MEMBERS, each: bool = True) -> DataFrame:
     """tree_repeats of all shards; members are one anchor for each of several surroundings (a written table)."""
     shards = surroundings(base, members.where(F.col("differ") <= most))
     whole = None
@@ -357,7 +372,7 @@ def repeats(base: DataFrame, members: DataFrame, most: int = TREE_MEMBERS) -> Da
             shared = big.where(F.col("x") + F.col("y") >= LENGTH).select("h", F.lit(-1).cast("long").alias("repeat"), "key", "at", "same", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
             whole = shared if whole is None else whole.unionByName(shared)
             rest = cut(split(big)) if big.limit(1).count() else None
-    found = tree_repeats(shards)
+    found = tree_repeats(shards, each)
     return found if whole is None else found.unionByName(whole)
 
 
@@ -417,7 +432,7 @@ def covered(docs: DataFrame, apart: bool = True, most: int = TREE_MEMBERS) -> Da
     found = cut(repeated(rows.where(F.col("kind") != COVER), apart))
     left, right = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     equal = found.where(F.col("same") & (F.col("kind") == ONE)).select("key", _place(left).alias("begin"), _place(-right).alias("end"))
-    tree = repeats(base, found.where(F.col("first") & (F.col("differ") > 1)), most).where("not same")
+    tree = repeats(base, found.where(F.col("first") & (F.col("differ") > 1)), most, each=False).where("not same")
     return known.union(equal).union(tree.select("key", _place(F.col("x")).alias("begin"), _place(-F.col("y")).alias("end")))
 
 
