@@ -19,14 +19,16 @@ Surroundings and grams are compared by 64-bit hashes; extensions are compared by
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import batched, cut, met, only, packed, parts, unpacked
+from gaugeframe.llm._shared import batched, cut, met, only, packed, parts, shared_dir, unpacked
 
 LENGTH, GRAM = 200, 80
 LEFT, SPAN = LENGTH - GRAM, LENGTH - GRAM + 1
@@ -243,11 +245,11 @@ def maximal(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> li
     return found
 
 
-MEMBER = "h bigint, key bigint, at bigint, same boolean, lft binary, rgt binary"
+MEMBER = "h bigint, key bigint, at bigint, same boolean, lft binary, rgt binary, side string"
 
 
 def surroundings(base: DataFrame, members: DataFrame) -> DataFrame:
-    """The bytes around anchors: (h, key, at, same, lft, rgt), lft read backwards from the anchor."""
+    """The bytes around anchors: (h, key, at, same, lft, rgt, side), lft read backwards from the anchor; side is for split()."""
     wanted = members.groupBy("key").agg(F.collect_list(F.struct("h", "at", "same")).alias("a"))
     joined = base.join(wanted.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key")).select("doc_id", "key", "text", "a")
 
@@ -260,7 +262,7 @@ def surroundings(base: DataFrame, members: DataFrame) -> DataFrame:
                 left = pa.array([text[a - n : a][::-1] for a, n in zip(start, (at >> 8 & 255).tolist(), strict=True)], pa.binary())
                 right = pa.array([text[a : a + n] for a, n in zip(start, (at & 255).tolist(), strict=True)], pa.binary())
                 keys = pa.array(np.full(len(at), batch.column(1)[i].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([want.field("h"), keys, want.field("at"), want.field("same"), left, right], ["h", "key", "at", "same", "lft", "rgt"])
+                yield pa.RecordBatch.from_arrays([want.field("h"), keys, want.field("at"), want.field("same"), left, right, pa.array(["rl"] * len(at))], ["h", "key", "at", "same", "lft", "rgt", "side"])
 
     return joined.transform(batched, run, MEMBER)
 
@@ -282,21 +284,22 @@ def split(big: DataFrame) -> DataFrame:
     """Members with x and y dealt into parts (new h) by their next bytes to the right, and again by those to the left.
 
     If the shared bytes are fewer than a repeat needs, a pair has half of the open ones to the right, or the others to the
-    left; otherwise a pair that shares more has one more byte to either side.
+    left. If they are as many, a pair with a longer repeat has one more byte on one side, and on that side alone the part is
+    then split on: a 200-byte string that reaches beyond the shared bytes to the right ends on the left within them.
     """
-    names = ["h", "key", "at", "same", "lft", "rgt"]
+    names = ["h", "key", "at", "same", "lft", "rgt", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h, key, at, same, lft, rgt, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for h, key, at, same, lft, rgt, sides, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 open_ = max(1, LENGTH - x - y)
                 right = (open_ + 1) // 2
-                for side, more, begin, own in ((b"r", right, y, rgt), (b"l", open_ + 1 - right, x, lft)):
-                    if begin + more <= len(own):
-                        part = hashlib.blake2b(own[begin : begin + more], digest_size=8, key=(h & (1 << 64) - 1).to_bytes(8, "little"), salt=side).digest()
-                        rows.append((int.from_bytes(part, "little", signed=True), key, at, same, lft, rgt))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                for side, more, begin, own in (("r", right, y, rgt), ("l", open_ + 1 - right, x, lft)):
+                    if side in sides and begin + more <= len(own):
+                        part = hashlib.blake2b(own[begin : begin + more], digest_size=8, key=(h & (1 << 64) - 1).to_bytes(8, "little"), salt=side.encode()).digest()
+                        rows.append((int.from_bytes(part, "little", signed=True), key, at, same, lft, rgt, side if x + y >= LENGTH else sides))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     return big.select(*names, "x", "y").transform(batched, run, MEMBER)
@@ -358,22 +361,88 @@ def tree_repeats(shards: DataFrame, each: bool = True) -> DataFrame:
     return dealt.select("h", "key", "at", "same", "lft", "rgt").transform(batched, run, REPEAT)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder; unlike a checkpoint's, its plan knows nothing of the rounds before."""
+    path = f"{shared_dir(df.sparkSession)}/parts-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reach(part: DataFrame, side: str, known: str) -> DataFrame:
+    """(h, key, at, far): the longest common prefix of each member's `side` with any other's of its shard, `known` at least.
+
+    Members are sorted over all tasks, where that prefix is one of a member with its neighbours. What reaches the driver
+    has two rows for each partition.
+    """
+    own = part.select("h", F.col(side).alias("own"), "key", "at", F.col(known).alias("known"))
+    own = cut(own.repartitionByRange(parts(part), "h", "own", "key", "at").sortWithinPartitions("h", "own", "key", "at"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for batch in batches:
+            if batch.num_rows:
+                first = first or (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
+                last = batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py()
+        if first:
+            at = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([at, at], [first[0], last[0]], [first[1], last[1]])], ["part", "h", "own"])
+
+    edges = sorted(((r["part"], k, r["h"], bytes(r["own"])) for k, r in enumerate(own.select("h", "own").transform(batched, ends, "part bigint, h bigint, own binary").collect())), key=lambda e: e[:2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId()
+        before = next((e[2:] for e in reversed(edges) if e[0] < at), None)
+        after = next((e[2:] for e in edges if e[0] > at), None)
+        held: list[tuple] = []  # the row that waits for its next one, with its prefix so far
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["h", "key", "at", "far"])
+
+        for batch in batches:
+            done = []
+            for h, mine, key, place, least in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                shared = common(before[1], mine) if before and before[0] == h else 0
+                if held:
+                    done.append((*held[0][:3], max(held[0][3], shared if held[0][0] == h else 0)))
+                held, before = [(h, key, place, max(least, shared))], (h, mine)
+            if done:
+                yield out(done)
+        if held:
+            shared = common(before[1], after[1]) if after and after[0] == held[0][0] else 0
+            yield out([(*held[0][:3], max(held[0][3], shared))])
+
+    return own.transform(batched, run, "h bigint, key bigint, at bigint, far bigint")
+
+
 def repeats(base: DataFrame, members: DataFrame, most: int = TREE_MEMBERS, each: bool = True) -> DataFrame:
-    """tree_repeats of all shards; members are one anchor for each of several surroundings (a written table)."""
+    """tree_repeats of all shards; members are one anchor for each of several surroundings (a written table).
+
+    Of a part with too many members that share all of a 200-byte string, this is the first repeat. Longer ones reach beyond
+    it on one side and end on the other within it, so without `each` the farthest shared byte on either side is enough.
+    """
     shards = surroundings(base, members.where(F.col("differ") <= most))
-    whole = None
+    found: list[DataFrame] = []
     if members.where(F.col("differ") > most).limit(1).count():
-        rest = cut(surroundings(base, members.where(F.col("differ") > most)).dropDuplicates(["h", "key", "at"]))
+        rest = written(surroundings(base, members.where(F.col("differ") > most)).dropDuplicates(["h", "key", "at"]))
         while rest is not None:
-            ends = cut(first_intervals(rest))
-            rest = cut(met(rest, ends, ["h"], rest.count()))
+            ends = written(first_intervals(rest))
+            rest = written(met(rest, ends, ["h"], rest.count()).coalesce(parts(base)))
             shards = shards.unionByName(rest.where(F.col("times") <= most).drop("times", "x", "y"))
-            big = rest.where(F.col("times") > most)
-            shared = big.where(F.col("x") + F.col("y") >= LENGTH).select("h", F.lit(-1).cast("long").alias("repeat"), "key", "at", "same", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-            whole = shared if whole is None else whole.unionByName(shared)
-            rest = cut(split(big)) if big.limit(1).count() else None
-    found = tree_repeats(shards, each)
-    return found if whole is None else found.unionByName(whole)
+            big, whole = rest.where(F.col("times") > most), F.col("x") + F.col("y") >= LENGTH
+            shared = big.where(whole)
+            if each:
+                found.append(shared.select("h", F.lit(-1).cast("long").alias("repeat"), "key", "at", "same", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))
+            else:
+                if shared.limit(1).count():
+                    left, right = reach(shared, "lft", "x").withColumnRenamed("far", "x"), reach(shared, "rgt", "y").withColumnRenamed("far", "y")
+                    both = shared.select("h", "key", "at", "same").join(left, ["h", "key", "at"]).join(right, ["h", "key", "at"])
+                    found.append(both.select("h", F.lit(-1).cast("long").alias("repeat"), "key", "at", "same", "x", "y"))
+                big = big.where(~whole)
+            rest = written(split(big)) if big.limit(1).count() else None
+    out = tree_repeats(shards, each)
+    for more in found:
+        out = out.unionByName(more)
+    return out
 
 
 def _place(shift: Column) -> Column:
