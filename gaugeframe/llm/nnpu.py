@@ -77,11 +77,11 @@ def scales(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarr
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Linear:
-    """Minimises the non-negative risk; without positives or unlabelled text the score is the prior everywhere."""
+    """Minimises the non-negative risk; without positives or unlabelled text nothing tells texts apart, and none is called toxic."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     alone = list({x.tobytes(): x for x in positive}.values())  # a text that was copied counts once
     if not alone or not unlabelled:
-        return Linear(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))))
+        return Linear(np.zeros(1 << BITS), float(np.log(1e-4)))
     free = scales(alone, unlabelled)
     used = np.flatnonzero(free)
     column, scale = np.full(1 << BITS, -1), free[used]
@@ -136,7 +136,8 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts get the score of the empty text; texts of any length are scored whole. Rows that repeat a doc_id
     are scored each by its own text, and one of their texts is learnt from. A null doc_id isn't held out or learnt from; a
-    doc_id labelled both ways isn't learnt from. Without labels all scores are the same. An empty table gives no rows.
+    doc_id labelled both ways isn't learnt from. Without a toxic text to learn from all scores are the same and low. An
+    empty table gives no rows.
     """
     return _scoring.digest(docs, train(docs, labels).score, THRESHOLD)
 

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,8 +164,8 @@ def anchor_rows(base: DataFrame, combine: bool = True, apart: bool = True) -> Da
             for first, some in _runs(batch.column(1).to_pylist()):
                 owner, *rest = anchors(some)
                 found.append((keys[first + owner], *rest))
-            if found:
-                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            if found and len(columns[0]):
                 rows = combined(*columns) if combine else single(*columns)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["h", "around", "key", "at", "kind"])
 
@@ -375,24 +374,22 @@ def reach(part: DataFrame, side: str, known: str) -> DataFrame:
     has two rows for each partition.
     """
     own = part.select("h", F.col(side).alias("own"), "key", "at", F.col(known).alias("known"))
-    own = cut(own.repartitionByRange(parts(part), "h", "own", "key", "at").sortWithinPartitions("h", "own", "key", "at"))
+    own = own.repartitionByRange(parts(part), "h", "own", "key", "at").sortWithinPartitions("h", "own", "key", "at")
+    own = cut(own.withColumn("part", F.spark_partition_id().cast("long")))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
         for batch in batches:
             if batch.num_rows:
                 first = first or (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
-                last = batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py()
+                last, at = (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py()), batch.column(2)[0].as_py()
         if first:
-            at = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([at, at], [first[0], last[0]], [first[1], last[1]])], ["part", "h", "own"])
 
-    edges = sorted(((r["part"], k, r["h"], bytes(r["own"])) for k, r in enumerate(own.select("h", "own").transform(batched, ends, "part bigint, h bigint, own binary").collect())), key=lambda e: e[:2])
+    edges = sorted(((r["part"], k, r["h"], bytes(r["own"])) for k, r in enumerate(own.select("h", "own", "part").transform(batched, ends, "part bigint, h bigint, own binary").collect())), key=lambda e: e[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId()
-        before = next((e[2:] for e in reversed(edges) if e[0] < at), None)
-        after = next((e[2:] for e in edges if e[0] > at), None)
+        before = after = None
         held: list[tuple] = []  # the row that waits for its next one, with its prefix so far
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -400,7 +397,10 @@ def reach(part: DataFrame, side: str, known: str) -> DataFrame:
 
         for batch in batches:
             done = []
-            for h, mine, key, place, least in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if batch.num_rows and not held:
+                at = batch.column(5)[0].as_py()
+                before, after = next((e[2:] for e in reversed(edges) if e[0] < at), None), next((e[2:] for e in edges if e[0] > at), None)
+            for h, mine, key, place, least, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 shared = common(before[1], mine) if before and before[0] == h else 0
                 if held:
                     done.append((*held[0][:3], max(held[0][3], shared if held[0][0] == h else 0)))

@@ -6,6 +6,7 @@ import random
 import zlib
 from array import array
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gaugeframe.llm import additive_ann, bpe, byte_cnn, nnpu, packing, queries, token_rollup
 from gaugeframe.llm._shared import shared_dir
@@ -89,24 +91,42 @@ def pieces_are_whole(rows, ids):
         assert at <= 1024 and at & (at - 1) == 0, "a sequence is full or as long as a power of two"
 
 
-@pytest.mark.parametrize("shard", [500, packing.SHARD_TOKENS])
+@pytest.mark.parametrize("shard", [7, packing.SHARD_DOCS])
 def test_packing_keeps_every_token(spark, reference, shard):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", f"w{rng.randint(0, 50)}"]) for _ in range(rng.choice([0, 3, 40, 900, 3000]))) for _ in range(60)] + ODD
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     ids = {i: [*reference.encode_ordinary(t or ""), 0] for i, t in enumerate(texts)}
-    pieces_are_whole(packing.pack(docs, shard_tokens=shard).collect(), ids)
+    pieces_are_whole(packing.pack(docs, shard_docs=shard).collect(), ids)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_packing_puts_alike_together():
-    docs = [np.concatenate([np.full(20, 1000 + k % 5), np.arange(2000 + 200 * k, 2200 + 200 * k)]).astype(np.uint32) for k in range(100)]
-    index = packing.Bm25(docs)
-    near = index.neighbours(0, np.zeros(100, bool))
-    assert set((near[1:12] % 5).tolist()) == {0} and near[0] == 0
-    used = np.zeros(100, bool)
-    used[near[:5]] = True
-    assert not set(index.neighbours(0, used).tolist()) & set(near[:5].tolist())
+def test_repeated_rows_are_packed_each(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, "w " * 200_000)], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 6 and sum(r["length"] for r in rows if r["doc_id"] is None) == 1
+    assert sum(r["length"] for r in rows if r["doc_id"] == 2) == next(r["doc_tokens"] for r in rows if r["doc_id"] == 2) > 200_000
+
+
+def plain_bm25(docs, seed, k1=1.2, b=0.75):
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = {t: sum(t in d for d in map(set, docs)) for t in set(docs[seed])}
+    idf = {t: np.log(1 + (n - v + 0.5) / (v + 0.5)) for t, v in df.items()}
+    return [sum(idf[t] * d.count(t) * (k1 + 1) / (d.count(t) + k1 * (1 - b + b * len(d) / mean)) for t in df) for d in docs]
+
+
+def test_neighbours_are_those_of_plain_bm25():
+    rng = np.random.default_rng(3)
+    docs = [rng.zipf(1.3, rng.integers(1, 300)).clip(0, 900).astype(np.uint16) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1000)
+    index = packing.Bm25(docs, packing.Corpus(len(docs), float(np.mean([len(d) for d in docs])), df))
+    plain = [d.tolist() for d in docs]
+    used = rng.random(60) < 0.3
+    for seed in range(60):
+        want = np.array(plain_bm25(plain, seed))
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+        near = index.neighbours(seed, used)
+        assert not used[near].any() and set(near.tolist()) == set(np.flatnonzero((want > 0) & ~used).tolist()) and (np.diff(want[near]) <= 1e-3).all()
 
 
 def test_rollup_is_the_recount(spark):
@@ -124,6 +144,25 @@ def test_rollup_is_the_recount(spark):
     assert got == dict(want)
 
 
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "a b", "en", "s"), (1, "a b", "en", "s"), (2, "a b", "en", "s"), (None, "a b", None, None), (None, None, None, None), (3, "", None, "q"), (4, "x", "de", "t")]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, source string, Text string, n_docs long")
+    got = sorted((r["source"], r["n_docs"], r["n_tokens"], r["n_bytes"]) for r in token_rollup.maintained(docs).collect())
+    assert got == [("q", 1, 1, 0), ("s", 1, 3, 3), ("t", 1, 2, 1)]
+
+
+def test_only_one_of_two_commits_counts(spark):
+    ledger = token_rollup.Ledger(spark, f"{shared_dir(spark)}/race-ledger")
+    counts = token_rollup.counted(spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string"))
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: ledger.commit("a/b", token_rollup.inserts(counts)), range(4)))
+    assert sum(done) == 1 and ledger.batches() == ["a/b"] and ledger.totals().first()["n_docs"] == 1
+    ledger.compact()
+    assert ledger.commit("c", token_rollup.inserts(counts)) and not ledger.commit("a/b", token_rollup.inserts(counts))
+    ledger.compact()
+    assert ledger.totals().first()["n_docs"] == 2 and len(ledger._state()[0]) == 1
+
+
 def test_ledger_replays_have_no_effect(spark):
     ledger = token_rollup.Ledger(spark, f"{shared_dir(spark)}/test-ledger")
     counts = token_rollup.counted(spark.createDataFrame([(1, "a b", None, "s"), (2, None, "en", "s"), (3, "", "en", "s")], "doc_id long, text string, lang string, source string"))
@@ -155,6 +194,29 @@ def test_search_recall_and_exact_scores(spark):
     assert additive_ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_any_magnitude(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [1e200, 1e200]), (2, [1.0, 0.0]), (3, [5e-324, 0.0]), (50, [1e200, 2e200]), (4, [-1e300, 1e300])]
+    got = additive_ann.search(spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<double>, VEC_ID string, x long")).collect()
+    score = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
+    assert score[0, 1] == pytest.approx(1) and score[0, 50] == score[50, 1] == pytest.approx(3 / 10**0.5) and score[0, 4] == pytest.approx(0, abs=1e-12) and len(score) == 10
+
+
+def test_recall_in_a_dense_group(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 32))
+    x[:3000] = x[0] + rng.standard_normal((3000, 32)) * 0.02
+    x = x[rng.permutation(6000)]
+    got = defaultdict(set)
+    for r in additive_ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    u, hit = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.95 * 600
+
+
 def held_out(spark, digest, label, threshold):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = digest(docs, labels).collect()
@@ -200,6 +262,45 @@ def test_network_gradients():
             values.flat[at] = old
 
 
+def test_network_against_plain_loops():
+    rng = np.random.default_rng(5)
+    net = byte_cnn.ByteCnn(rng)
+    for text in (b"", b"ab", rng.integers(0, 256, 700).astype(np.uint8).tobytes()):
+        padded = text + bytes(-(-(len(text) + byte_cnn.KERNEL) // byte_cnn.BLOCK) * byte_cnn.BLOCK - len(text) + byte_cnn.KERNEL)
+        n = len(padded) - byte_cnn.KERNEL
+        high = [max(0.0, max(sum(float(net.table[j, padded[at + j], f]) for j in range(byte_cnn.KERNEL)) for at in range(n)) + float(net.bias[f])) for f in range(byte_cnn.FILTERS)]
+        want = 1 / (1 + np.exp(-(sum(h * float(o) for h, o in zip(high, net.out, strict=True)) + float(net.base[0]))))
+        assert net.score([text])[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_risk_against_plain_loops():
+    rng = np.random.default_rng(6)
+    for shift, prior in ((0.0, 0.1), (4.0, 0.6)):
+        toxic, other = rng.standard_normal(30) + shift, rng.standard_normal(50) - shift
+        loss = lambda z, y: np.log1p(np.exp(-z if y else z))
+        miss = prior * sum(loss(z, 1) for z in toxic) / 30
+        clean = sum(loss(z, 0) for z in other) / 50 - prior * sum(loss(z, 0) for z in toxic) / 30
+        value, dp, du = nnpu.risk(toxic, other, prior)
+        assert value == pytest.approx(miss + max(clean, 0)) and (clean < 0) == (not du.any())
+        for k in range(3):
+            step = np.eye(30)[k] * 1e-5
+            assert (nnpu.risk(toxic + step, other, prior)[0] - nnpu.risk(toxic - step, other, prior)[0]) / 2e-5 == pytest.approx(dp[k], abs=1e-6)
+
+
+def test_long_texts_train_by_stretches_of_all_of_them(spark):
+    text = "".join(f"{i:08d}" for i in range(200_000)).encode()
+    got = bytes(spark.createDataFrame([(text,), (b"short",)], "text binary").select(byte_cnn.stretches(F.col("text")).alias("t")).orderBy(F.octet_length("t")).collect()[1]["t"])
+    assert len(got) == byte_cnn.STRETCHES * byte_cnn.STRETCH and got[:8] == text[:8] and got[-8:] == text[-8:] and text[800_000:800_200] not in (b"",)
+
+
+def test_clashing_names_and_repeated_rows_of_classifiers(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 1.0), (1, "a b", "x", 1.0), (1, "c", "y", None), (None, None, None, None)], "doc_id long, text string, Text string, __toxicity double")
+    labels = spark.createDataFrame([(1, 0, "q"), (3, 1, "q")], "doc_id long, toxic int, DOC_ID string")
+    out = nnpu.without_toxic(docs, labels)
+    assert out.columns == docs.columns and out.count() == 4 and nnpu.digest(docs, labels).count() == 4
+    assert byte_cnn.digest(docs, labels.withColumnRenamed("toxic", "quality")).count() == 4
+
+
 def test_pu_learning_finds_planted_words():
     rng = np.random.default_rng(1)
     text = lambda bad: " ".join(f"w{v}" for v in rng.integers(0, 500, 80)) + (" horrid" if bad else "")
