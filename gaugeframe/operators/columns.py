@@ -6,8 +6,11 @@ lengths, percentiles, top values) works on these counts with weights, so a low-c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeframe.functions import text as X
 from gaugeframe.settings import DEFAULT, Settings
@@ -24,9 +27,35 @@ def long_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return plain.select(F.inline(F.array(*cells)))
 
 
-def value_counts(long: DataFrame, standardise: bool = True, s: Settings = DEFAULT) -> DataFrame:
-    """(ordinal, column, value, cnt): null values have a row of their own; values are standardised if asked."""
-    raw = long.groupBy(*KEY, "value").agg(F.count("*").alias("cnt"))
+def raw_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(ordinal, column, value, cnt) of a table's cells as canonical text, null values in a row of their own.
+
+    Cells are counted as what they are, whole numbers as longs, one aggregate for each kind of column; only distinct values
+    are rendered as text. Minus zero counts as zero.
+    """
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    kinds: dict[str, tuple[T.DataType, list[Column]]] = {}
+    for i, f in enumerate(plain.schema):
+        if columns is None or names[i] in columns:
+            kind, cell = f.dataType, F.col(f"c{i}")
+            if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+                kind, cell = T.LongType(), cell.cast("long")
+            elif not isinstance(kind, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)):
+                kind, cell = T.StringType(), X.as_text(cell, kind)
+            kinds.setdefault(kind.simpleString(), (kind, []))[1].append(F.struct(F.lit(i).alias("ordinal"), cell.alias("value")))
+    if not kinds:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, value string, cnt bigint")
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("ordinal") + 1).alias("column")
+    parts = [
+        plain.select(F.inline(F.array(*cells))).groupBy("ordinal", "value").agg(F.count("*").alias("cnt")).select("ordinal", named, X.as_text(F.col("value"), kind).alias("value"), "cnt")
+        for kind, cells in kinds.values()
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def value_counts(raw: DataFrame, standardise: bool = True, s: Settings = DEFAULT) -> DataFrame:
+    """Counted values, standardised if asked, and counted together where that makes them equal."""
     if not standardise:
         return raw.withColumn("value", F.when(X.trimmed(F.col("value")) != "", F.col("value"))).groupBy(*KEY, "value").agg(F.sum("cnt").alias("cnt"))
     return standardised(raw, s).groupBy(*KEY, F.col("new").alias("value")).agg(F.sum("cnt").alias("cnt"))

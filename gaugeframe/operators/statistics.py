@@ -58,7 +58,7 @@ def basics(vc: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     ratio = F.when(rows > 0, d / rows).otherwise(0.0)
     size = F.when(ratio > s.high_cardinality, "HIGH").when(ratio > s.low_cardinality, "MEDIUM").otherwise("LOW")
     return c.select(
-        *KEY, "row_count", "null_count", "distinct_count", (rows <= s.exact_distinct_rows).alias("is_distinct_count_exact"),
+        *KEY, "row_count", "null_count", "distinct_count", F.lit(True).alias("is_distinct_count_exact"),
         ratio.alias("ratio"), F.round(ratio, 4).alias("unique_ratio"), size.alias("cardinality"), (nulls > 0).alias("is_nullable"),
         (d == 1).alias("is_constant"), (nulls / F.greatest(rows, F.lit(1)) > s.sparse_ratio).alias("is_sparse"), (size == "LOW").alias("is_low_cardinality"),
     )

@@ -67,17 +67,13 @@ def _in(tokens: tuple[str, ...]) -> str:
 # Value counts of several tables in one frame ------------------------------------------------------------------------
 
 
-def _long(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> DataFrame:
-    """One long form of several tables; columns are named table.column."""
+def _counts(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ALL, wanted: dict[str, list[str]] | None = None) -> DataFrame:
+    """Standardised value counts of several tables (of the wanted columns of each, if given); columns are named table.column."""
     frames = []
     for k, t in enumerate(tables):
-        x = columns.long_form(_read(spark, sf_dir, t).select(*TABLES[t]))
-        frames.append(x.select((F.col("ordinal") + 100 * k).alias("ordinal"), F.concat_ws(".", F.lit(t), "column").alias("column"), "value"))
-    return reduce(DataFrame.union, frames)
-
-
-def _counts(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ALL) -> DataFrame:
-    return columns.value_counts(_long(spark, sf_dir, tables))
+        x = columns.raw_counts(_read(spark, sf_dir, t).select(*(wanted[t] if wanted else TABLES[t])))
+        frames.append(x.select((F.col("ordinal") + 100 * k).alias("ordinal"), F.concat_ws(".", F.lit(t), "column").alias("column"), "value", "cnt"))
+    return columns.value_counts(reduce(DataFrame.union, frames))
 
 
 _ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' ELSE strftime({c}, '.%f') END"
@@ -197,7 +193,10 @@ _Q = "SELECT '{t}.{c}' AS column_name, " + ", ".join(f"quantile_cont(CAST({{c}}
 
 
 def _numeric(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vc = _counts(spark, sf_dir, ("lineitem", "customer", "orders", "part")).where(F.col("column").isin(*[f"{t}.{c}" for t, c in _NUMBERS]))
+    wanted: dict[str, list[str]] = {}
+    for t, c in _NUMBERS:
+        wanted.setdefault(t, []).append(c)
+    vc = _counts(spark, sf_dir, tuple(wanted), wanted)
     return vc, statistics.percentiles(vc, statistics.inferred(vc))
 
 

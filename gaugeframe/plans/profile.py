@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from gaugeframe.functions.text import flattened, standard_names
 from gaugeframe.operators import quality, statistics
-from gaugeframe.operators.columns import KEY, long_form, report, standardised
+from gaugeframe.operators.columns import KEY, raw_counts, report, standardised
 from gaugeframe.settings import DEFAULT, Settings
 
 #: The fixed schema of column_profiles; what can't be computed is null, never left out.
@@ -46,11 +46,11 @@ def column_profiles(df: DataFrame, table_name: str, s: Settings = DEFAULT, stand
     Values are counted once; the counts are kept, and types, distinct counts, ranges, percentiles, lengths and top values
     come from them by jobs that run side by side. Each job's result has a few rows for each column of the table, whatever
     the table's size, so the results are put together on the driver and returned as a local frame. All figures are exact
-    at every size; is_distinct_count_exact only says whether the table has at most exact_distinct_rows rows.
+    at every size.
     """
     df = flattened(df)
     spark, declared = df.sparkSession, [f.dataType.simpleString() for f in df.schema]
-    raw = long_form(df).groupBy(*KEY, "value").agg(F.count("*").alias("cnt")).persist()
+    raw = raw_counts(df).persist()
     blank = F.trim("value") == ""
     new = standardised(raw, s).withColumnRenamed("new", "to") if standardise else raw.withColumn("to", F.when(~blank, F.col("value")))
     vc = new.groupBy(*KEY, F.col("to").alias("value")).agg(F.sum("cnt").alias("cnt")).persist()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeframe.operators import statistics
-from gaugeframe.operators.columns import KEY, long_form, standardised
+from gaugeframe.operators.columns import KEY, raw_counts, standardised
 
 
 class ProfileState:
@@ -17,8 +17,7 @@ class ProfileState:
         self.spark, self.path = spark, path
 
     def add(self, batch: DataFrame, epoch: int) -> None:
-        counts = long_form(batch).groupBy(*KEY, "value").agg(F.count("*").alias("cnt"))
-        counts.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        raw_counts(batch).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
 
     def counts(self) -> DataFrame:
         raw = self.spark.read.parquet(self.path).groupBy(*KEY, "value").agg(F.sum("cnt").alias("cnt"))
