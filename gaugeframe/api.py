@@ -73,8 +73,8 @@ def profile_directory(spark: SparkSession, path: str, s: Settings = DEFAULT) ->
         if file.lower().endswith(intake.SCANNED):
             try:
                 found.append(profile_file(spark, file, s))
-            except (ValueError, NotImplementedError) as e:
-                log.warning("left out: %s", e)
+            except Exception as e:  # noqa: BLE001 - one broken file doesn't end the run; Spark's errors share no narrower class
+                log.warning("left out: %s: %s", file, str(e).split("\n")[0])
     if not found:
         raise ValueError(f"no file in {path} can be profiled")
     return reduce(DataFrame.unionByName, found)

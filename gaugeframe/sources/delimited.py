@@ -75,11 +75,11 @@ def header_of(rows: list[list[str]]) -> tuple[list[str], bool]:
 def structure(x: Intake, s: Settings = DEFAULT) -> tuple[str, list[str], bool]:
     """(delimiter, names, has a header) from the intake window; CorruptFile if too many rows are ragged."""
     text = x.head.decode(x.encoding, errors="replace").removeprefix("\ufeff")
-    lines = text.splitlines()[: s.csv_probe_rows + 5]
-    if len(x.head) >= 8192 and len(lines) > 1:
-        lines = lines[:-1]  # the window may have cut the last one
-    sep = best_delimiter(lines, x.delimiter, s)
+    lines = text.splitlines(keepends=True)[: s.csv_probe_rows + 5]
+    sep = best_delimiter([x.rstrip("\r\n") for x in lines], x.delimiter, s)
     rows = [r for r in csv.reader(lines, delimiter=sep) if r]
+    if len(x.head) >= 8192 and len(rows) > 1:
+        rows = rows[:-1]  # the window may have cut the last one
     if corruption(rows) > s.corruption_threshold:
         raise CorruptFile(f"{x.path}: {corruption(rows):.0%} of the first rows have another number of fields")
     names, has = header_of(rows)
@@ -87,15 +87,21 @@ def structure(x: Intake, s: Settings = DEFAULT) -> tuple[str, list[str], bool]:
 
 
 def read_delimited(spark: SparkSession, path: str, x: Intake | None = None, s: Settings = DEFAULT) -> DataFrame:
-    """All rows as text columns. Short rows are filled with nulls, surplus fields dropped, as in a lenient reader."""
+    """All rows as text columns. Short rows are filled with nulls, surplus fields dropped, as in a lenient reader.
+
+    A file is split between tasks unless a quote is open at the end of one of its first lines, or its encoding has no
+    single byte for a line's end: such a file is read record by record.
+    """
     x = x or examined(spark, path, s)
     sep, names, has = structure(x, s)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if x.compression == "zip":
         return _from_archive(spark, path, sep, names, has, x.encoding)
-    code = {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}.get(x.encoding, x.encoding.upper())
+    code = {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16-le": "UTF-16", "utf-16-be": "UTF-16"}.get(x.encoding, x.encoding.upper())
+    first = x.head.decode(x.encoding, errors="replace").split("\n")
+    whole = x.encoding.startswith("utf-16") or any(line.count('"') % 2 for line in first[:-1])
     reader = spark.read.schema(schema).option("sep", sep).option("header", has).option("encoding", code).option("enforceSchema", True)
-    return reader.option("quote", '"').option("escape", '"').option("multiLine", False).option("mode", "PERMISSIVE").csv(path)
+    return reader.option("quote", '"').option("escape", '"').option("multiLine", whole).option("mode", "PERMISSIVE").csv(path)
 
 
 def corrupt_rows(spark: SparkSession, path: str, sep: str, width: int) -> Column | DataFrame:

@@ -130,3 +130,15 @@ def test_stream_of_batches(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(str(source))
         followed(stream, state, str(tmp_path / "checkpoint")).awaitTermination()
         assert state.basics().first()["distinct_count"] == 10 * (k + 1)
+
+
+def test_quoted_line_ends_utf16_and_broken_files(spark, tmp_path):
+    from gaugeframe import api
+
+    (tmp_path / "quoted.csv").write_text("id,note\n" + "".join(f'{i},"two\nlines"\n' for i in range(5)))
+    (tmp_path / "wide.csv").write_bytes("id,note\n1,é\n2,ü\n".encode("utf-16"))
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 this is none PAR1")
+    quoted, wide = (api.read_file(spark, str(tmp_path / f))[0] for f in ("quoted.csv", "wide.csv"))
+    assert [r["note"] for r in quoted.collect()] == ["two\nlines"] * 5 and sorted(r["note"] for r in wide.collect()) == ["é", "ü"]
+    found = api.profile_directory(spark, str(tmp_path))
+    assert {(r["table_name"], r["row_count"]) for r in found.collect()} == {("quoted", 5), ("wide", 2)}
