@@ -2,8 +2,8 @@
 
 The `tokenizers` library turns pieces of text into ids; this module cuts whole texts into the pieces the vocabulary's
 pattern defines, asks the library once for each distinct piece and joins the answers. A cut is only made before a space
-that a non-space character follows. There the pattern always ends one match and begins the next, so the ids are those of
-the whole text. Decoding maps ids to their bytes through the reversed byte table; characters that are split between
+that a non-space character follows, or before a single line end between visible characters. There the pattern always ends
+one match and begins the next, so the ids are those of the whole text. Decoding maps ids to their bytes through the reversed byte table; characters that are split between
 tokens come out whole because bytes, not characters, are joined.
 """
 
@@ -42,6 +42,8 @@ _SPACE = re.compile(r"\s")
 #: Marks at a word's end that the pattern matches by themselves.
 MARKS = ".,;:!?"
 _CUT = re.compile(r" (?=\S)")
+#: A line end between two visible ASCII characters: the pattern matches it by itself.
+_LINE = re.compile(rb"\n(?<=[!-~]\n)(?=[!-~])")
 
 
 def byte_characters() -> list[str]:
@@ -147,12 +149,13 @@ class ByteBpe:
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers; a null has none.
 
-        Chunks are remembered without the space before them; the first chunk of a text, which has none, is not.
+        Chunks are remembered without the space before them; the first chunk of a text, which has none, is not. A chunk also
+        begins at a single line end, which it keeps.
         """
         cuts = []
         for t in texts:
             if not t or not _ODD_SPACE.search(t):
-                cuts.append((t or b"").split(b" "))
+                cuts.append(_LINE.sub(rb" \n", t or b"").split(b" "))
             else:
                 cuts.append([c.encode() for c in _CUT.split(t.decode())])
         heads = {c[0] for c in cuts}
@@ -164,7 +167,9 @@ class ByteBpe:
         words, marked, odd = [], [], {}
         for c in new:
             text = c.decode()
-            if text.isalpha():  # the pattern matches it whole with its space, or all but a mark at its end
+            if text[:1] == "\n":
+                odd[c] = text
+            elif text.isalpha():  # the pattern matches it whole with its space, or all but a mark at its end
                 words.append(c)
             elif c[-1:] in self.marks and text[:-1].isalpha():
                 marked.append(c)
