@@ -29,7 +29,7 @@ from gaugeframe.llm._shared import batched
 
 #: Bounds on what a worker remembers between batches: entries of a generation (some 200 bytes each), the worker's memory
 #: above which a generation ends early, entries that it has then at least, and bytes of a chunk that is remembered.
-MAX_CHUNKS, MAX_PIECES, WORKER_MB, MIN_ENTRIES, LONG_CHUNK = 600_000, 500_000, 300, 80_000, 64
+MAX_CHUNKS, MAX_PIECES, WORKER_MB, MIN_ENTRIES, LONG_CHUNK = 600_000, 500_000, 450, 80_000, 64
 #: Pieces that the library gets in one string.
 JOINED = 2000
 #: Rows of a batch that are handled at once.
