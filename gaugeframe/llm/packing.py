@@ -50,8 +50,19 @@ class Corpus:
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct tokens and how often each occurs."""
     x = np.sort(ids, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return x[at], np.diff(np.append(at, len(x)))
+    new = np.ones(len(x) + 1, bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:-1])
+    at = new.nonzero()[0]
+    return x[at[:-1]], at[1:] - at[:-1]
+
+
+def smallest(x: np.ndarray, n: int) -> list[int]:
+    """The n smallest distinct values, or all."""
+    out: list[int] = []
+    while len(x) and len(out) < n:
+        out.append(int(x.min()))
+        x = x[x > out[-1]]
+    return out
 
 
 class Bm25:
@@ -192,8 +203,7 @@ def routed(rows: DataFrame, corpus: Corpus, path: str) -> DataFrame:
         for batch in batches:
             found = np.full((batch.num_rows, RARE), 1 << 16 if kind == "<u2" else 1 << 30, np.int64)
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                low = corpus.rank[distinct(np.frombuffer(raw, kind))[0]]
-                low = np.sort(np.partition(low, RARE)[:RARE] if len(low) > RARE else low)
+                low = smallest(corpus.rank[np.frombuffer(raw, kind)], RARE)
                 found[i, : len(low)] = low
             keys = [f"r{k}" for k in range(RARE)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(found[:, k].astype(np.int32)) for k in range(RARE)]], ["doc_id", "ids", *keys])
