@@ -218,8 +218,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = near_copies.WORDS, similarity: float = near_copies.SIMILARITY) -> DataFrame:
-    """(doc_id, th, node, root, component_id) for corpora: links are word shingles of at least that Jaccard similarity, not op6's."""
-    return near_copies.groups(docs, words=words, similarity=similarity)
+    """(doc_id, th, node, root, component_id) for corpora: links are word shingles of at least that Jaccard similarity, not op6's.
+
+    The tries' links are checked on the sets; what the fingerprints of similar texts are too far apart for is proposed by MinHash.
+    """
+    return near_copies.groups(docs, fingerprint, links, words=words, similarity=similarity)
 
 
 def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = linked) -> DataFrame:
