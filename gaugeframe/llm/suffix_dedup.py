@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import batched, cut, met, only, packed, parts, shared_dir, unpacked
+from gaugeframe.llm._shared import batched, cut, dropped, met, only, packed, parts, shared_dir, shuffles_removed, unpacked
 
 LENGTH, GRAM = 200, 80
 LEFT, SPAN = LENGTH - GRAM, LENGTH - GRAM + 1
@@ -184,18 +184,20 @@ def _again(apart: bool) -> Column:
 
 
 def repeated(rows: DataFrame, apart: bool = True) -> DataFrame:
-    """Anchors (a written table, without covers) whose gram occurs again, with what is known of their surroundings:
+    """Anchors (a written table, without covers) whose gram occurs again, as a written table, with what is known of their surroundings:
 
     `same` if other anchors have equal ones, `first` for one anchor of equal ones, and `differ`, how many the gram has.
     """
     grams = cut(rows.groupBy("h").agg(_again(apart).alias("again"), F.count("*").alias("times")).where("again").select("h", "times"))
     hits = cut(met(rows, grams, ["h"], rows.count()).drop("times"))
     by = ["h", "around"]
-    per = cut(hits.groupBy(*by).agg(_again(apart).alias("same"), F.min(F.xxhash64("key", "at")).alias("least"), F.count("*").alias("times")))
-    differ = cut(per.groupBy("h").agg(F.count("*").alias("differ")).select("h", "differ", F.col("differ").alias("times")))
-    per = cut(met(per.withColumnRenamed("times", "n"), differ, ["h"], per.count()).drop("times").withColumnRenamed("n", "times"))
+    each = cut(hits.groupBy(*by).agg(_again(apart).alias("same"), F.min(F.xxhash64("key", "at")).alias("least"), F.count("*").alias("times")))
+    differ = cut(each.groupBy("h").agg(F.count("*").alias("differ")).select("h", "differ", F.col("differ").alias("times")))
+    per = cut(met(each.withColumnRenamed("times", "n"), differ, ["h"], each.count()).drop("times").withColumnRenamed("n", "times"))
     found = met(hits, per, by, hits.count())
-    return found.select("h", "around", "key", "at", "kind", "same", (F.xxhash64("key", "at") == F.col("least")).alias("first"), "differ")
+    found = cut(found.select("h", "around", "key", "at", "kind", "same", (F.xxhash64("key", "at") == F.col("least")).alias("first"), "differ"))
+    dropped(grams, hits, each, differ, per)
+    return found
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -248,8 +250,8 @@ MEMBER = "h bigint, key bigint, at bigint, same boolean, lft binary, rgt binary,
 
 
 def surroundings(base: DataFrame, members: DataFrame) -> DataFrame:
-    """The bytes around anchors: (h, key, at, same, lft, rgt, side), lft read backwards from the anchor; side is for split()."""
-    wanted = members.groupBy("key").agg(F.collect_list(F.struct("h", "at", "same")).alias("a"))
+    """The bytes around anchors: (h, key, at, same, lft, rgt, side, big), lft read backwards from the anchor; side is for split()."""
+    wanted = members.groupBy("key").agg(F.collect_list(F.struct("h", "at", "same", "big")).alias("a"))
     joined = base.join(wanted.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key")).select("doc_id", "key", "text", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +263,10 @@ def surroundings(base: DataFrame, members: DataFrame) -> DataFrame:
                 left = pa.array([text[a - n : a][::-1] for a, n in zip(start, (at >> 8 & 255).tolist(), strict=True)], pa.binary())
                 right = pa.array([text[a : a + n] for a, n in zip(start, (at & 255).tolist(), strict=True)], pa.binary())
                 keys = pa.array(np.full(len(at), batch.column(1)[i].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([want.field("h"), keys, want.field("at"), want.field("same"), left, right, pa.array(["rl"] * len(at))], ["h", "key", "at", "same", "lft", "rgt", "side"])
+                columns = [want.field("h"), keys, want.field("at"), want.field("same"), left, right, pa.array(["rl"] * len(at)), want.field("big")]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "key", "at", "same", "lft", "rgt", "side", "big"])
 
-    return joined.transform(batched, run, MEMBER)
+    return joined.transform(batched, run, f"{MEMBER}, big boolean")
 
 
 def first_intervals(rest: DataFrame) -> DataFrame:
@@ -363,7 +366,8 @@ def tree_repeats(shards: DataFrame, each: bool = True) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder; unlike a checkpoint's, its plan knows nothing of the rounds before."""
     path = f"{shared_dir(df.sparkSession)}/parts-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -420,10 +424,14 @@ def repeats(base: DataFrame, members: DataFrame, most: int = TREE_MEMBERS, each:
     Of a part with too many members that share all of a 200-byte string, this is the first repeat. Longer ones reach beyond
     it on one side and end on the other within it, so without `each` the farthest shared byte on either side is enough.
     """
-    shards = surroundings(base, members.where(F.col("differ") <= most))
+    around = surroundings(base, members.withColumn("big", F.col("differ") > most))
     found: list[DataFrame] = []
-    if members.where(F.col("differ") > most).limit(1).count():
-        rest = written(surroundings(base, members.where(F.col("differ") > most)).dropDuplicates(["h", "key", "at"]))
+    split_up = members.where(F.col("differ") > most).limit(1).count() > 0
+    if split_up:  # then the texts are shuffled once for both kinds of shards
+        around = written(around)
+    shards = around.where("not big").drop("big")
+    if split_up:
+        rest = written(around.where("big").drop("big").dropDuplicates(["h", "key", "at"]))
         while rest is not None:
             ends = written(first_intervals(rest))
             rest = written(met(rest, ends, ["h"], rest.count()).coalesce(parts(base)))
@@ -458,7 +466,7 @@ def maximal_repeats(docs: DataFrame, most: int = TREE_MEMBERS) -> DataFrame:
     and text are one document. Null and short texts have no repeats; an empty table has no rows.
     """
     base = _base(docs)
-    found = cut(repeated(cut(anchor_rows(base, combine=False, apart=False)), apart=False))
+    found = repeated(cut(anchor_rows(base, combine=False, apart=False)), apart=False)
     members = found.where(F.col("first") & (F.col("differ") > 1))
     left, right = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     # anchors with equal surroundings are a repeat of these; in a tree one of them stands for all
@@ -494,15 +502,22 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, apart: bool = True, most: int = TREE_MEMBERS) -> DataFrame:
-    """(key, begin, end): what maximal repeats cover of the documents' bytes. Rows that repeat a key are copies if `apart`."""
+    """(covered, spans): for each key that has some, the stretches (begin, end) of its bytes that maximal repeats cover, as a written table.
+
+    Rows that repeat a key are copies if `apart`.
+    """
     base = _base(docs)
     rows = cut(anchor_rows(base, apart=apart))
-    known = rows.where(F.col("kind") == COVER).select("key", F.col("around").alias("begin"), F.col("at").alias("end"))
-    found = cut(repeated(rows.where(F.col("kind") != COVER), apart))
+    known = cut(rows.where(F.col("kind") == COVER).select("key", F.col("around").alias("begin"), F.col("at").alias("end")))
+    found = repeated(rows.where(F.col("kind") != COVER), apart)
+    dropped(rows)
     left, right = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     equal = found.where(F.col("same") & (F.col("kind") == ONE)).select("key", _place(left).alias("begin"), _place(-right).alias("end"))
     tree = repeats(base, found.where(F.col("first") & (F.col("differ") > 1)), most, each=False).where("not same")
-    return known.union(equal).union(tree.select("key", _place(F.col("x")).alias("begin"), _place(-F.col("y")).alias("end")))
+    spans = known.union(equal).union(tree.select("key", _place(F.col("x")).alias("begin"), _place(-F.col("y")).alias("end")))
+    out = cut(spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).withColumnRenamed("key", "covered"))
+    dropped(known, found)
+    return out
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -513,11 +528,6 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[head], high[np.append(np.flatnonzero(head)[1:] - 1, len(high) - 1)]
 
 
-def _spans(docs: DataFrame, apart: bool, most: int) -> DataFrame:
-    """(covered, spans): for each key that has some, its covered stretches."""
-    return covered(docs, apart, most).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).withColumnRenamed("key", "covered")
-
-
 def _kept(text: bytes, spans: pa.Scalar) -> tuple[bytes, int, int]:
     """What is left of a text, bytes removed, runs removed."""
     if not spans.is_valid or not len(spans.values):
@@ -535,7 +545,7 @@ def digest(docs: DataFrame, most: int = TREE_MEMBERS) -> DataFrame:
     tables give no rows.
     """
     base = _base(docs)
-    joined = base.join(_spans(docs, True, most), F.col("key") == F.col("covered"), "left").select("doc_id", "text", "spans")
+    joined = base.join(covered(docs, True, most), F.col("key") == F.col("covered"), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -561,7 +571,7 @@ def without_repeats(docs: DataFrame, most: int = TREE_MEMBERS) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = packed(docs, "doc_id", "text").select("row", F.xxhash64("doc_id", text).alias("key"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(_spans(docs, False, most), F.col("key") == F.col("covered"), "left").select("row", "text", "spans")
+    joined = rows.join(covered(docs, False, most), F.col("key") == F.col("covered"), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
