@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm._shared import batched, cut, only, parts
+from gaugeframe.llm._shared import batched, cut, dropped, only, parts
 from gaugeframe.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -179,10 +179,13 @@ def groups(
     per = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"))
     open_ = cut(rooted.join(per.where("roots > 1").select("key", "main"), "key"))
     some = cut(sets.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")))
+    ids = cut(marked.select("doc_id", "th", "node"))
+    dropped(marked)
     rest = _in_buckets(open_.select("key", "node", "root", "main").join(some, "node"), open_.count(), similarity)
     joined = components(first.union(rest))
+    dropped(first, open_, some)
 
     named = firsts.select("node", "first").join(joined, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     whole = named.join(least, "root").select("node", "root", "component_id")
-    return marked.select("doc_id", "th", "node").join(whole, "node").select("doc_id", "th", "node", "root", "component_id")
+    return ids.join(whole, "node").select("doc_id", "th", "node", "root", "component_id")

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from gaugeframe.llm import _shared, suffix_dedup
+from gaugeframe.llm import _shared, near_copies, simhash, suffix_dedup
 
 
 def shuffle_files(spark):
@@ -50,3 +50,14 @@ def test_suffix_dedup_holds_what_it_still_reads(spark, most, reads):
     # the covered stretches; where a shard was split up, also how far its members reach to either side
     assert len([x for x in tables(spark) - had if x.startswith("rdd-")]) == reads
     assert out.where("n_removed >= 300").count() == 63
+
+
+def test_near_duplicates_drop_the_sets(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(near_copies, "cut", lambda df: made.append(_shared.cut(df)) or made[-1])
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 3}") for i in range(9)], "doc_id long, text string")
+    out = simhash.near_duplicates(docs)
+    path = lambda df: df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    with_sets = [df for df in made if "found" in df.columns]
+    assert len(with_sets) == 2 and not any(os.path.exists(path(df)) for df in with_sets)
+    assert sorted(r["component_id"] for r in out.collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
